@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, line_dedup, near_dedup, quality_classifier
+from . import base, bpe_count, line_dedup, mixing, near_dedup, quality_classifier, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,29 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken(base.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), (5, 2, 1), 3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = base.Scratch(spark, "warc").root
+    warc.write(base.table(spark, sf_dir, "pages"), root, least=0)
+    return warc.read_back(spark, root).drop("url")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )
+
+
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -49,6 +72,58 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op6_mixing": r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5('11:' || coalesce(doc_id::VARCHAR, '-')) AS ord
+  FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM src),
+total AS (SELECT coalesce(sum(source_size), 0)::BIGINT AS budget FROM src),
+fill(turn, rest, open_weight, capped) AS (
+  SELECT 0, (SELECT budget FROM total), (SELECT sum(weight)::BIGINT FROM weighted), 0::BIGINT
+  UNION ALL
+  SELECT turn + 1,
+    (SELECT budget FROM total) - (SELECT coalesce(sum(3 * source_size), 0)::BIGINT FROM weighted WHERE 3 * source_size * f.open_weight <= weight * f.rest),
+    (SELECT coalesce(sum(weight), 0)::BIGINT FROM weighted WHERE NOT (3 * source_size * f.open_weight <= weight * f.rest)),
+    (SELECT count(*) FROM weighted WHERE 3 * source_size * f.open_weight <= weight * f.rest)
+  FROM fill f
+  WHERE f.open_weight > 0 AND (SELECT count(*) FROM weighted WHERE 3 * source_size * f.open_weight <= weight * f.rest) <> f.capped),
+done AS (SELECT rest, open_weight FROM fill ORDER BY turn DESC LIMIT 1),
+goal AS (
+  SELECT source, source_size,
+    CASE WHEN open_weight = 0 THEN (3 * source_size)::DOUBLE
+         ELSE least((3 * source_size)::DOUBLE, (weight * rest)::DOUBLE / open_weight::DOUBLE) END AS target
+  FROM weighted, done),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM goal),
+run AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, d.ord) AS own
+  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN part > 0 AND upto - own / 2 <= part THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, sha256(html) AS s,
+         list_transform(range(0, 160), lambda i: (('0x' || substr(sha1(html), (i // 4 + 1)::BIGINT, 1))::INT >> (3 - i % 4)::INT) & 1) AS bits
+  FROM p),
+b AS (
+  SELECT page_id, payload_bytes, s,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (16 * bits[5 * k + 1] + 8 * bits[5 * k + 2] + 4 * bits[5 * k + 3] + 2 * bits[5 * k + 4] + bits[5 * k + 5] + 1)::BIGINT, 1)), '') AS payload_digest
+  FROM d),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS owner FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM o
 """,
 }
 
