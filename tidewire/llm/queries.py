@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe_count, line_dedup, mixing, near_dedup, quality_classifier, warc
+from . import base, bpe_count, language_id, line_dedup, mixing, near_dedup, quality_classifier, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = base.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")
+    model = language_id.train(docs, path)
+    return language_id.predict(docs.select("doc_id", "text"), path, *model).select(
+        "doc_id", (base.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.taken(base.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), (5, 2, 1), 3)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
