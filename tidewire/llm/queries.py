@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe_count, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, warc
+from . import base, bpe_count, chat, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.replies(base.table(spark, sf_dir, "conversations"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = base.Scratch(spark, "warc").root
     warc.write(base.table(spark, sf_dir, "pages"), root, least=0)
@@ -73,6 +81,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _decontamination_sql(size: int = decontaminate.WINDOW) -> str:
+    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+    mark = r"regexp_replace({}, '([\p{{L}}\p{{N}},;] )(\p{{Lu}}\p{{Ll}})', '\1' || chr(2) || '\2', 'g')"
+    # A match uses up the character before, so neighbours of a name need a second turn.
+    marked = mark.format(mark.format("coalesce(text, '')"))
+    lead = lambda c: [f"lead({c}, {k}) OVER w" if k else c for k in range(size)]
+    return rf"""
+WITH texts AS (
+  SELECT doc_id AS id, text, true AS doc FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT DISTINCT item_id, text, false FROM benchmark WHERE item_id IS NOT NULL),
+split AS (SELECT id, doc, regexp_extract_all(lower({marked}), '\x02?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS t FROM texts),
+flat AS (SELECT id, doc, unnest(t) AS v, generate_subscripts(t, 1) - 1 AS place, len(t) AS n FROM split),
+before AS (SELECT *, lag(v) OVER (PARTITION BY doc, id ORDER BY place) AS p FROM flat),
+typed AS (
+  SELECT *, CASE WHEN ascii(v) = 2 THEN '<name>' WHEN ascii(v) BETWEEN 48 AND 57 THEN '<number>'
+    WHEN ascii(p) BETWEEN 48 AND 57 AND v IN ({units}) THEN '<unit>' ELSE v END AS c FROM before),
+win AS (
+  SELECT id, doc, place, n, [{", ".join(lead("c"))}] AS cs, [{", ".join(lead("v"))}] AS vs
+  FROM typed WINDOW w AS (PARTITION BY doc, id ORDER BY place)),
+keyed AS (
+  SELECT id, doc, place, list_filter(vs, lambda x: x IS NOT NULL) AS vs,
+    CASE WHEN 2 * len(list_filter(cs, lambda x: x[1] = '<')) > least(n, {size}) THEN 'v' || array_to_string(vs, ' ') ELSE 'c' || array_to_string(cs, ' ') END AS key,
+    len(list_filter(cs, lambda x: x[1] = '<')) > 0 AS slotted
+  FROM win WHERE place + {size} <= n OR (n < {size} AND place = 0)),
+items AS (SELECT id AS item_id, key, min(place) AS item_at, arg_min(vs, place) AS item_vs, bool_or(slotted) AS slotted FROM keyed WHERE NOT doc GROUP BY ALL),
+totals AS (SELECT item_id, count(*) AS n_windows FROM items GROUP BY item_id),
+matched AS (
+  SELECT d.id AS doc_id, i.item_id, i.key, d.place - i.item_at AS diagonal, item_vs, d.vs, i.slotted
+  FROM keyed d JOIN items i ON d.key = i.key WHERE d.doc),
+pairs AS (SELECT doc_id, item_id, diagonal, unnest(item_vs) AS a, unnest(vs) AS b FROM matched WHERE slotted),
+slots AS (
+  SELECT doc_id, item_id, diagonal, bool_or(least <> most) AS torn, bool_or(least <> a OR most <> a) AS changed
+  FROM (SELECT doc_id, item_id, diagonal, a, min(b) AS least, max(b) AS most FROM pairs GROUP BY ALL) GROUP BY ALL)
+SELECT m.doc_id, m.item_id, count(DISTINCT m.key) AS n_matched, t.n_windows, NOT bool_or(coalesce(s.changed, false)) AS same_values
+FROM matched m JOIN totals t ON m.item_id = t.item_id
+LEFT JOIN slots s ON m.doc_id = s.doc_id AND m.item_id = s.item_id AND m.diagonal = s.diagonal
+WHERE NOT coalesce(s.torn, false)
+GROUP BY m.doc_id, m.item_id, t.n_windows
+HAVING 100 * count(DISTINCT m.key) >= {decontaminate.COVERED} * t.n_windows
+"""
+
+
 SQL: dict[str, str] = {
     "op3_line_dedup": f"""
 WITH lines AS (
@@ -125,6 +176,7 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN part > 0 AND upto - own / 2 <= part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run
 """,
+    "op7_decontamination": _decontamination_sql(),
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
@@ -145,8 +197,14 @@ FROM o
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
