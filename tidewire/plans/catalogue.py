@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import q_articles, q_hazards, q_search
+
+MODULES: tuple = (q_search, q_articles, q_hazards)
 
 
 def queries() -> dict:
