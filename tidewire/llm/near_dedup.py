@@ -10,12 +10,13 @@ Coordinates go into ``BANDS`` bands. Documents with equal bands are candidates,
 link is made only if the full sets pass the similarity. With 28 bands of 4 coordinates two sets
 of similarity 0.8 miss every band with probability 4e-7 (0.85: 1e-9).
 
-Candidates of a band aren't paired with each other. Equal word sequences are one class from the
-start. Buckets of up to ``SMALL`` classes are paired in full; in a larger bucket every class is
-held against its smallest one, then those that stay outside the bucket's largest component are
-held, some at a time, against all classes of other components, until a bucket is one component
-or every class outside was held against the rest. No link between components is lost and a group of
-n alike classes costs n - 1 comparisons.
+Candidates of a band aren't all paired with each other. Equal word sequences are one class from
+the start. Buckets of up to ``SMALL`` classes are paired in full; in a larger bucket every class is
+held against the most central one (that of the most and largest buckets), so n alike classes cost n - 1
+comparisons. Classes that stay outside the largest component of a bucket are then held against all
+classes of their group (what large buckets connect) in blocks of ``QUERIES`` by ``ROWS_AT_ONCE``: sparse
+columns of full sets are multiplied, and of each such class one link to each other component comes out. No pairs are
+put out for that and no task gets a whole group.
 
 Nulls: a document with a null or blank text has no shingles and is linked with nothing; one with
 a null id is returned with a null component, kept, linked with nothing. Fewer words than a shingle
@@ -31,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import base
 from .components import connected
@@ -39,6 +39,8 @@ from .components import connected
 COORDINATES, ROWS = 112, 4
 BANDS = COORDINATES // ROWS
 SMALL = 8
+#: Classes of a block: those outside their bucket's largest component, and those they are held against.
+QUERIES, ROWS_AT_ONCE = 512, 1024
 #: Elements that are sketched at once.
 CHUNK = 2_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -185,6 +187,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int = 25
     )
 
 
+def _outside(large: DataFrame, labels: DataFrame, work: base.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the classes outside the largest component of a large bucket; the same of all its classes."""
+    held = work.keep(
+        large.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")),
+        "held",
+    )
+    shares = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.component").alias("top"))
+    outside = held.join(top, "key").filter("component <> top").select("id", "component").distinct()
+    return work.keep(outside, "outside"), work.keep(held.select("id", "component").distinct(), "inside")
+
+
+def _block_links(ids: list, sets: list, comps: list, ids2: list, sets2: list, comps2: list, percent: int, columns: int = 4096):
+    """(u, v) of sets in the first and the second list that pass; one link of each u to each component."""
+    sizes, sizes2 = np.array([len(s) for s in sets]), np.array([len(s) for s in sets2])
+    flat, flat2 = np.concatenate(sets), np.concatenate(sets2)
+    row, row2 = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(sets2)), sizes2)
+    shared = np.intersect1d(flat, flat2)
+    both = np.zeros((len(sets), len(sets2)), np.float32)
+    for i in range(0, len(shared), columns):
+        part = shared[i : i + columns]
+        left, right = (np.zeros((n, len(part)), np.float32) for n in (len(sets), len(sets2)))
+        for out, values, rows in ((left, flat, row), (right, flat2, row2)):
+            at = np.searchsorted(part, values)
+            hit = part[np.minimum(at, len(part) - 1)] == values
+            out[rows[hit], at[hit]] = 1
+        both += left @ right.T
+    comps, comps2 = np.array(comps), np.array(comps2)
+    passed = (100 * both >= percent * (sizes[:, None] + sizes2[None, :] - both)) & (comps[:, None] != comps2[None, :])
+    us, vs = [], []
+    for i in np.flatnonzero(passed.any(axis=1)):
+        hits = np.flatnonzero(passed[i])
+        _, first = np.unique(comps2[hits], return_index=True)
+        us += [ids[i]] * len(first)
+        vs += [ids2[k] for k in hits[first]]
+    return us, vs
+
+
+def _by_blocks(outside: DataFrame, inside: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of the outside classes with classes of other components of their group."""
+    asking = outside.select("id", F.lit(True).alias("asks"))
+    rows = inside.join(groups, "id").join(asking, "id", "left").select("id", "grp", "component", F.coalesce("asks", F.lit(False)).alias("query"))
+    parts = rows.groupBy("grp").agg(F.ceil(F.count_if("query") / QUERIES).cast("int").alias("n_q"), F.ceil(F.count("*") / ROWS_AT_ONCE).cast("int").alias("n_r")).filter("n_q > 0")
+    rows = rows.join(parts, "grp").withColumn("mix", F.xxhash64("id")).join(sets, "id")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = rows.filter("query").select("grp", F.pmod("mix", "n_q").cast("int").alias("q"), over("n_r").alias("r"), "id", "component", "set")
+    others = rows.select(F.col("grp").alias("grp2"), over("n_q").alias("q2"), F.pmod("mix", "n_r").cast("int").alias("r2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("set").alias("set2"))
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def block(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not (one.num_rows and two.num_rows):
+            return out.empty_table()
+        read = lambda t, i, s, c: (t[i].to_pylist(), [np.asarray(x.values) for x in t[s]], t[c].to_pylist())
+        us, vs = _block_links(*read(one, "id", "set", "component"), *read(two, "id2", "set2", "component2"), percent)
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=out)
+
+    return queries.groupBy("grp", "q", "r").cogroup(others.groupBy("grp2", "q2", "r2")).applyInArrow(block, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     work = base.Scratch(docs.sparkSession, "near")
@@ -195,49 +256,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "classes",
     )
     members = classes.select("id", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = work.keep(members.join(sizes, "key"), "buckets")
-
-    small = buckets.filter(F.col("n") <= SMALL).select("key", "id")
+    small, large = buckets.filter(F.col("n") <= SMALL).select("key", "id"), buckets.filter(F.col("n") > SMALL)
+    # Of equally central classes the smallest id is the centre.
+    weight = large.groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = large.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
+    large = work.keep(large.select("key", "id").join(centres, "key"), "large")
     pairs = (
-        buckets.filter((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("u"), F.col("id").alias("v"))
+        large.filter("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v"))
         .union(small.withColumnRenamed("id", "u").join(small.withColumnRenamed("id", "v"), "key").filter("u < v").select("u", "v"))
         .distinct()
     )
-    pairs = work.keep(pairs, "pairs0")
+    pairs = work.keep(pairs, "pairs")
     named = buckets.select("id").distinct()
     sets = work.keep(full_sets(docs.withColumnRenamed("doc_id", "id").join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), width), "sets")
-    links = work.keep(verified(pairs, sets, percent), "links0")
-    labels = connected(links, work, "labels0")
-
-    # Large buckets: what is outside a bucket's largest component meets all others of the bucket.
-    active = buckets.filter(F.col("n") > SMALL).select("key", "id", (F.col("id") == F.col("centre")).alias("held"))
-    turn, width_now = 0, 16
-    while True:
-        turn += 1
-        named_now = work.keep(
-            active.join(labels.withColumnsRenamed({"node": "id"}), "id", "left").select("key", "id", "held", F.coalesce("component", "id").alias("component")),
-            f"active{turn}",
-        )
-        shares = named_now.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        outside = (
-            named_now.filter("NOT held").join(largest.select("key", F.col("top.component").alias("top")), "key").filter("component <> top")
-            .withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("place") <= width_now)
-            .select("key", F.col("id").alias("centre"), F.col("component").alias("centre_component"))
-        )
-        outside = work.keep(outside, f"outside{turn}")
-        if outside.isEmpty():
-            break
-        more = (
-            named_now.join(outside, "key").filter("component <> centre_component")
-            .select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v")).distinct()
-        )
-        links = work.keep(links.union(verified(work.keep(more, f"pairs{turn}"), sets, percent)).distinct(), f"links{turn}")
-        labels = connected(links, work, f"labels{turn}")
-        active = named_now.join(outside.select("key", F.col("centre").alias("id"), F.lit(True).alias("now")), ["key", "id"], "left").select("key", "id", (F.col("held") | F.coalesce("now", F.lit(False))).alias("held"))
-        width_now *= 4
-    work.drop("sets")
+    links = work.keep(verified(pairs, sets, percent), "links")
+    work.drop("buckets", "pairs")
+    labels = connected(links, work, "labels")
+
+    outside, inside = _outside(large, labels, work)
+    if not outside.isEmpty():
+        # What large buckets connect, alike or not, is a group.
+        named = connected(large.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")), work, "groups")
+        groups = inside.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+        found = work.keep(_by_blocks(outside, inside, groups, sets, percent), "found")
+        labels = connected(links.union(found), work, "all_labels")
+    work.drop("sets", "large", "links")
 
     to_class = classes.select("d1", "d2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
