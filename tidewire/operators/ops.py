@@ -50,7 +50,7 @@ def growth(samples: DataFrame, ceiling: float) -> DataFrame:
     """Bytes and articles a day between first and last sample; at least 6 hours apart, else no row."""
     s = samples.agg(
         F.min_by(F.struct("bytes", "articles"), "at").alias("a"), F.max_by(F.struct("bytes", "articles"), "at").alias("b"),
-        ((F.unix_seconds(F.max("at").cast("timestamp")) - F.unix_seconds(F.min("at").cast("timestamp"))) / 3600.0).alias("hours"), F.count("*").alias("n"),
+        ((F.unix_micros(F.max("at").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))) / 3_600_000_000.0).alias("hours"), F.count("*").alias("n"),
     ).filter("n >= 2 AND hours >= 6")
     per_day = lambda c: (F.col(f"b.{c}") - F.col(f"a.{c}")) / F.col("hours") * 24
     return s.select(

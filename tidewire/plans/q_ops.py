@@ -184,7 +184,7 @@ SELECT url, min(arrival) AS arrival FROM p WHERE url NOT IN (SELECT url FROM p W
 r AS (SELECT unnest(['example.com', 'example.net', 'm.ththth.example.net', 'example.org']) AS rated, unnest([2, 4, 1, 3]) AS rank)
 SELECT d.id, any_value(domain) AS domain, arg_max(rank, length(rated)) AS rank FROM d LEFT JOIN r ON domain = rated OR ends_with(domain, '.' || rated) GROUP BY d.id""",
     "growth": """WITH s AS (SELECT ts AS at_, event_id * 1000 + 5000000 AS bytes, event_id + 10 AS articles FROM events WHERE event_id IN ((SELECT min(event_id) FROM events), (SELECT max(event_id) FROM events))),
-g AS (SELECT arg_min(bytes, at_) AS b0, arg_max(bytes, at_) AS b1, arg_min(articles, at_) AS a0, arg_max(articles, at_) AS a1, (epoch(max(at_))::BIGINT - epoch(min(at_))::BIGINT) / 3600.0::DOUBLE AS h FROM s)
+g AS (SELECT arg_min(bytes, at_) AS b0, arg_max(bytes, at_) AS b1, arg_min(articles, at_) AS a0, arg_max(articles, at_) AS a1, (epoch_us(max(at_)) - epoch_us(min(at_))) / 3600000000.0::DOUBLE AS h FROM s)
 SELECT round((b1 - b0) / h * 24, 4) AS bytes_day, round((a1 - a0) / h * 24, 4) AS articles_day, round(b1 / a1, 4) AS bytes_article,
   round(CASE WHEN (b1 - b0) / h * 24 > 0 THEN (1e12::DOUBLE - b1) / ((b1 - b0) / h * 24) END, 4) AS days_left FROM g WHERE h >= 6""",
     "feed_kind": f"""{A.with_sql('articles')},

@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-#: Tags whose content is never text, block tags, tags that close an open one; phrases of a site speaking of itself; limits. Fixed values.
-SKIPPED = frozenset("script style noscript nav header footer aside form button svg iframe figure figcaption select template".split())
-BLOCKS = frozenset("p li dd dt blockquote h1 h2 h3 h4 h5 h6 pre td".split())
-IMPLIED = {"p": {"p"}, "li": {"p", "li"}, "dd": {"p", "dd", "dt"}, "dt": {"p", "dd", "dt"}}
-SITE_VOICE = ("cookie", "subscribe", "newsletter", "sign up", "all rights reserved", "privacy policy")
+# Tags without text, tags of body text, other blocks, tags without an end, tags that end a
+# paragraph, phrases of a site speaking of itself, limits.
+SKIPPED = frozenset("script style noscript svg nav form iframe head footer aside figure button select template dialog".split())
+BODY = frozenset("p h1 h2 h3 li blockquote".split())
+OTHER = frozenset("div section article main header td th dd dt h4 h5 h6 figcaption details summary label caption".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDS_P = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split()
+)
+SITE_VOICE = (
+    "we use cookies", "uses cookies", "accept all cookies", "cookie settings", "all rights reserved", "sign up for our", "subscribe to our", "enable javascript",
+    "javascript is disabled", "javascript to continue", "your browser does not support", "please enable", "already a subscriber", "create a free account", "start your free trial",
+)
 MOST_INPUT, MOST_TEXT, LEAST_TEXT, LEAST_WORDS = 1_500_000, 20_000, 200, 10
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCKS = BODY | OTHER
 
 
 class _Blocks(HTMLParser):
@@ -25,11 +33,13 @@ class _Blocks(HTMLParser):
         self.skipping: list[str] = []
         self.open: list[dict] = []
         self.done: list[tuple[int, str]] = []
-        self.loose: list[str] = []
+        self.other: list[tuple[int, str]] = []
         self.links = self.place = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
+            if tag == "br" and self.open:
+                self.open[-1]["text"].append(" ")
             return
         if self.skipping:
             if tag == self.skipping[-1]:
@@ -41,7 +51,8 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.links += 1
         if tag in BLOCKS:
-            while self.open and self.open[-1]["tag"] in IMPLIED.get(tag, ()):
+            last = self.open[-1]["tag"] if self.open else ""
+            if (last == "p" and tag in ENDS_P) or (last == tag and tag in ("li", "dd", "dt")):
                 self._close()
             self.place += 1
             self.open.append({"tag": tag, "place": self.place, "text": [], "plain": False})
@@ -64,21 +75,19 @@ class _Blocks(HTMLParser):
         if self.open:
             self.open[-1]["text"].append(data)
             self.open[-1]["plain"] |= not self.links and bool(data.strip())
-        elif data.strip():
-            self.loose.append(data)
 
     def _close(self):
         block = self.open.pop()
         text = " ".join("".join(block["text"]).split())
         if text and block["plain"] and not any(v in text.lower() for v in SITE_VOICE):
-            self.done.append((block["place"], text))
+            (self.done if block["tag"] in BODY else self.other).append((block["place"], text))
 
     def result(self) -> str:
         while self.open:
             self._close()
-        text = " ".join(t for _, t in sorted(self.done))
+        text = " ".join(t for _, t in sorted(self.done)).strip()
         if len(text) < LEAST_TEXT:
-            other = " ".join(" ".join(t.split()) for t in self.loose if len(t.split()) >= LEAST_WORDS)
+            other = " ".join(t for _, t in sorted(self.other) if len(t.split()) >= LEAST_WORDS)
             text = other if len(other) > len(text) else text
         return text[:MOST_TEXT]
 

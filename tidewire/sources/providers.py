@@ -16,8 +16,8 @@ COLUMNS = ["kind", "provider", "external_id", "name", "lat", "lon", "country", "
 MOST_SHAPE_BYTES, LEAST_CONFIDENCE, MOST_SENSORS = 32_768, 70, 80
 #: Kinds of the global disaster feed and severities of its colours; of weather warnings. Fixed values.
 GDACS_KINDS = {"EQ": "earthquake", "TC": "storm", "FL": "flood", "VO": "volcano", "DR": "drought", "WF": "wildfire"}
-GDACS_LEVELS = {"red": 90, "orange": 60, "green": 30}
-NWS_LEVELS = {"extreme": 95, "severe": 75, "moderate": 50, "minor": 30}
+GDACS_LEVELS = {"red": 90, "orange": 60, "green": 25}
+NWS_LEVELS = {"extreme": 90, "severe": 70, "moderate": 45, "minor": 25}
 
 
 def _map(values: dict, key: Column) -> Column:
@@ -105,7 +105,7 @@ def gdacs(payloads: DataFrame) -> DataFrame:
     p = F.col("f.properties")
     kind = _map(GDACS_KINDS, F.upper(p["eventtype"]))
     f = f.filter((F.col("f.geometry.type") == "Point") & kind.isNotNull() & ~((kind == "wildfire") & (F.coalesce(p["iso3"], F.lit("")) == "USA")))
-    return _rows(f, kind, "gdacs", external_id=F.concat(p["eventtype"], F.lit("-"), p["eventid"]), name=F.coalesce(p["name"], F.lit("")), lat=F.col("f.geometry.coordinates")[1], lon=F.col("f.geometry.coordinates")[0], country=F.coalesce(p["iso3"], F.lit("")), severity=F.coalesce(_map(GDACS_LEVELS, F.lower(p["alertlevel"])), F.lit(30)), started_at=F.try_to_timestamp(p["fromdate"]).cast("timestamp_ntz"), raw=F.to_json(p))
+    return _rows(f, kind, "gdacs", external_id=F.concat(F.upper(p["eventtype"]), F.lit(":"), p["eventid"]), name=F.coalesce(p["name"], F.lit("")), lat=F.col("f.geometry.coordinates")[1], lon=F.col("f.geometry.coordinates")[0], country=F.upper(F.substring(F.coalesce(p["iso3"], F.lit("")), 1, 2)), severity=F.coalesce(_map(GDACS_LEVELS, F.lower(F.trim(p["alertlevel"]))), F.lit(25)), started_at=F.try_to_timestamp(p["fromdate"]).cast("timestamp_ntz"), raw=F.to_json(p))
 
 
 def usgs(payloads: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def nws(payloads: DataFrame) -> DataFrame:
     f = f.filter("f.geometry.type = 'Polygon'").withColumn("points", F.flatten("f.geometry.coordinates"))
     p, at = F.col("f.properties"), lambda i: F.transform("points", lambda x: x[i])
     middle = lambda i: (F.array_min(at(i)) + F.array_max(at(i))) / 2
-    return _rows(f, "severe_weather", "nws", external_id=F.col("f.id"), name=F.coalesce(p["event"], F.lit("")), lat=middle(1), lon=middle(0), country=F.lit("US"), severity=F.coalesce(_map(NWS_LEVELS, F.lower(p["severity"])), F.lit(30)), started_at=F.try_to_timestamp(p["effective"]).cast("timestamp_ntz"), raw=F.to_json(p))
+    return _rows(f, "severe_weather", "nws", external_id=F.col("f.id"), name=F.coalesce(p["event"], F.lit("")), lat=middle(1), lon=middle(0), country=F.lit("US"), severity=F.coalesce(_map(NWS_LEVELS, F.lower(F.trim(p["severity"]))), F.lit(45)), started_at=F.try_to_timestamp(p["effective"]).cast("timestamp_ntz"), raw=F.to_json(p))
 
 
 def fan_out(answers: dict[str, DataFrame | None], may_be_empty: tuple[str, ...] = ("nws",)) -> tuple[DataFrame | None, list[str]]:
