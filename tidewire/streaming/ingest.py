@@ -74,7 +74,7 @@ def cluster_stream(stream: DataFrame, window_hours: int = 72) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         out = []
         for row in rows.itertuples():
-            tokens, best, best_sim = set(row.tokens), None, 0.0
+            tokens, best, best_sim = set(row.tokens.split()), None, 0.0
             events = [e for e in events if e["at"] >= row.at - window_hours * 3600]
             for e in events if len(tokens) >= 2 else ():
                 held = set(e["tokens"])
@@ -93,5 +93,5 @@ def cluster_stream(stream: DataFrame, window_hours: int = 72) -> DataFrame:
         state.update((json.dumps([events, following]),))
         yield pd.DataFrame(out, columns=["id", "event"])
 
-    keyed = stream.withColumn("one", F.lit(0))
+    keyed = stream.select("id", "at", F.array_join("tokens", " ").alias("tokens"), F.lit(0).alias("one"))
     return keyed.groupBy("one").applyInPandasWithState(step, "id long, event long", "live string", "append", "NoTimeout")
