@@ -357,3 +357,25 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert d.columns == columns, name
         assert 0.5 * before.count() <= d.count() <= before.count(), name
     assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count() == d.count()
+
+
+def test_quotes_equal_their_sql(spark):
+    import duckdb
+
+    from tidewire.llm import queries
+
+    rng = random.Random(10)
+    stock = [f"Sentence number {k} of the stock{e}" for k in range(6) for e in ".!"]
+    rows = []
+    for conv in range(4):
+        for turn in range(25):
+            lines = [rng.choice(["", "> ", ">> ", "> > ", " >"]) + rng.choice(stock) for _ in range(rng.randrange(5))]
+            rows.append((conv, turn, "user", "\n".join([*rng.choice([[], ["On Monday she wrote:"]]), *lines])))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", d.toPandas())
+    found = con.execute(queries.oracle_sql()["op8_chat_formatting"])
+    names = [c[0] for c in found.description]
+    got = [tuple(r[n] for n in names) for r in chat.replies(d).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, found.fetchall()))
+    assert sum(r[names.index("parent_turn")] is not None for r in got) > 20

@@ -36,6 +36,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Probabilities are scaled by this per byte, so products of many stay in range.
 _SCALE = 32.0
+#: Words a worker keeps with their log-probabilities for up to four languages; fewer for more.
 KEPT_WORDS = 400_000
 
 
@@ -173,7 +174,8 @@ class Model:
         self.vocabulary, self.languages = vocabulary, languages
         self.q, self.prior = _scaled(vocabulary, p), np.log(prior)
         self.known: dict[str, int] = {}
-        self.table = np.zeros((KEPT_WORDS, len(languages)))
+        self.kept = KEPT_WORDS * 4 // max(4, len(languages))
+        self.table = np.zeros((self.kept, len(languages)))
 
     def word_logs(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -194,10 +196,10 @@ class Model:
         return out
 
     def _look_up(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
+        if len(self.known) + len(words) > self.kept:
             self.known.clear()
         n = len(self.known)
-        words = words[: KEPT_WORDS - n]
+        words = words[: self.kept - n]
         if words:
             self.table[n : n + len(words)] = self.word_logs(words)
             self.known.update(zip(words, range(n, n + len(words))))
@@ -211,7 +213,7 @@ class Model:
                 size += len(texts[start] or "")
                 start += 1
             fresh = list(dict.fromkeys(w for words in counts for w in words if w not in self.known))
-            if len(fresh) > KEPT_WORDS // 2:
+            if len(fresh) > self.kept // 2:
                 totals = [self._direct(words) for words in counts]
             else:
                 self._look_up(fresh)

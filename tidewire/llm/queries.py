@@ -177,6 +177,39 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """,
     "op7_decontamination": _decontamination_sql(),
+    "op8_chat_formatting": r"""
+WITH RECURSIVE msg AS (SELECT row_number() OVER () AS rid, conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations),
+split AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM msg),
+leveled AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS body FROM split),
+lines AS (
+  SELECT *, level = 0 AND regexp_matches(body, '(?i)^\s*(?:(?:on|am|le|el)\b.*\b(?:wrote|schrieb|écrit|escribió).*:|-+ ?original message ?-+)\s*$')
+    AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY place), 0) > 0 AS heads FROM leveled),
+own AS (SELECT rid, trim(string_agg(body, chr(10) ORDER BY place), BLANKS) AS content FROM lines WHERE level = 0 AND NOT heads GROUP BY rid),
+runs AS (SELECT *, place - row_number() OVER (PARTITION BY rid, level ORDER BY place) AS run FROM lines WHERE level > 0),
+passages AS (
+  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY place) AS text FROM runs WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, level, run
+  UNION ALL SELECT conv_id, turn, 0, content FROM msg JOIN own USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+sentences AS (
+  SELECT DISTINCT conv_id, turn, level, h FROM (
+    SELECT conv_id, turn, level, unnest(string_split(regexp_replace(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')), '([.!?:]) ', '\1' || chr(1), 'g'), chr(1))) AS h FROM passages)
+  WHERE length(h) >= 8),
+found AS (
+  SELECT q.conv_id, q.turn, q.level, q.h, max(o.turn) AS source FROM sentences q LEFT JOIN sentences o ON o.level = 0 AND o.conv_id = q.conv_id AND o.h = q.h AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY ALL),
+votes AS (SELECT conv_id, turn, level, source, count(*) AS n FROM found GROUP BY ALL),
+links AS (SELECT conv_id, turn, sum(n)::BIGINT AS n_quoted, coalesce(sum(n) FILTER (WHERE source IS NOT NULL), 0)::BIGINT AS n_linked FROM votes GROUP BY ALL),
+best AS (SELECT conv_id, turn, source AS parent_turn FROM votes WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1),
+up(conv_id, turn, thread_root, depth) AS (
+  SELECT conv_id, turn, parent_turn, 1 FROM best
+  UNION ALL SELECT u.conv_id, u.turn, b.parent_turn, u.depth + 1 FROM up u JOIN best b ON b.conv_id = u.conv_id AND b.turn = u.thread_root),
+top AS (SELECT conv_id, turn, min(thread_root) AS thread_root, max(depth) AS depth FROM up GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, coalesce(own.content, '') AS content, b.parent_turn, coalesce(t.thread_root, m.turn) AS thread_root, coalesce(t.depth, 0) AS depth,
+  coalesce(l.n_quoted, 0) AS n_quoted, coalesce(l.n_linked, 0) AS n_linked
+FROM msg m LEFT JOIN own USING (rid) LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
+LEFT JOIN best b ON b.conv_id = m.conv_id AND b.turn = m.turn LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn
+""".replace("BLANKS", _BLANKS),
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
