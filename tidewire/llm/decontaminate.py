@@ -26,14 +26,18 @@ WINDOW, COVERED, BROADCAST_ROWS = 8, 50, 200_000
 #: Units, fixed values.
 UNITS = ("mg", "g", "kg", "t", "mm", "cm", "m", "km", "ml", "cl", "l", "ms", "s", "min", "h", "km/h", "w", "kw", "kwh", "mb", "gb", "tb", "usd", "eur", "euro", "euros", "dollar", "dollars", "meter", "meters", "miles", "hours", "minutes", "seconds", "days", "years")
 NAME_MARK = "\x02"
-_NAME = r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
+#: The rare condition comes first, so most places fail fast.
+_NAME = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )"
 _TOKEN = r"\x02?[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"
 _NAME_KEY, _NUMBER_KEY, _UNIT_KEY = 1, 2, 3
 
 
-def _tokens(text: Column) -> Column:
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME_MARK)
-    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
+def _marked(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME_MARK))
+
+
+def _tokens(marked: Column) -> Column:
+    return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
 def _windows(size: int) -> Column:
@@ -43,24 +47,29 @@ def _windows(size: int) -> Column:
 
     def window(i: Column) -> Column:
         slots = sum((x.between(_NAME_KEY, _UNIT_KEY).cast("int") for x in c(i)), F.lit(0))
-        key = F.when(F.col("slotted") & (2 * slots > size), F.xxhash64(F.lit(-size), *v(i))).otherwise(F.xxhash64(F.lit(size), *c(i)))
-        return F.struct(key.alias("key"), i.alias("at"), F.when(F.col("slotted") & (slots > 0), F.slice("v", i + 1, F.lit(size))).alias("values"))
+        key = F.when(2 * slots > size, F.xxhash64(F.lit(-size), *v(i))).otherwise(F.xxhash64(F.lit(size), *c(i)))
+        return F.struct(key.alias("key"), i.alias("at"), F.when(slots > 0, F.slice("v", i + 1, F.lit(size))).alias("values"))
+
+    def plain(i: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(size), *v(i)).alias("key"), i.alias("at"), F.lit(None).cast("array<bigint>").alias("values"))
 
-    return F.transform(F.sequence(F.lit(0), F.size("c") - size), window)
+    places = F.sequence(F.lit(0), F.size("v") - size)
+    return F.when(F.col("slotted"), F.transform(places, window)).otherwise(F.transform(places, plain))
 
 
 def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
     """key, n_windows and one row for each window; sizes: None for the one of each item, else those to make."""
     digit = lambda w: F.ascii(w).between(48, 57)
-    tokens = texts.select(key, _tokens(F.col("text")).alias("tokens")).withColumn("v", F.transform("tokens", lambda w: F.xxhash64(w)))
+    marked = texts.select(key, _marked(F.col("text")).alias("marked"))
+    # Without a number or a name there is no slot, so the canonical tokens are the literal ones.
+    tokens = marked.select(key, F.col("marked").rlike(f"[0-9{NAME_MARK}]").alias("slotted"), _tokens(F.col("marked")).alias("tokens")).withColumn("v", F.transform("tokens", lambda w: F.xxhash64(w)))
 
     def canonical(w: Column, i: Column) -> Column:
         unit = digit(F.get("tokens", i - 1)) & w.isin(*UNITS)
         return F.when(F.ascii(w) == 2, _NAME_KEY).when(digit(w), _NUMBER_KEY).when(unit, _UNIT_KEY).otherwise(F.xxhash64(w))
 
-    hashed = tokens.withColumn("c", F.transform("tokens", canonical)).drop("tokens")
-    hashed = hashed.withColumn("slotted", F.exists("c", lambda x: x.between(_NAME_KEY, _UNIT_KEY)))
-    n = F.size("c")
+    hashed = tokens.withColumn("c", F.when(F.col("slotted"), F.transform("tokens", canonical))).drop("tokens")
+    n = F.size("v")
     none = F.array().cast("array<struct<key:bigint,at:int,values:array<bigint>>>")
     if sizes is None:
         made = none
