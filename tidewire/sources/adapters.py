@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article for each document: title is its first line, body the rest."""
+    """One article for each document: title is its first line, body the rest; of a first line over 120 characters
+    the title has the start, and the body is the whole text, so no word is lost or split."""
     d = table(spark, sf_dir, "documents")
     at = F.instr("text", "\n")
     number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
@@ -34,7 +35,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("doc_id").alias("id"),
             F.substring(F.when(F.col("cut") > 0, F.expr("substring(text, 1, cut - 1)")).otherwise(F.col("text")), 1, 120).alias("title"),
-            F.when(F.col("cut") > 0, F.expr("substring(text, cut + 1)")).otherwise("").alias("content"),
+            F.when(F.when(F.col("cut") > 0, F.col("cut") - 1).otherwise(F.length("text")) > 120, F.col("text")).when(F.col("cut") > 0, F.expr("substring(text, cut + 1)")).otherwise("").alias("content"),
             "source_id",
             F.col("lang").alias("language"),
             F.coalesce("country", F.lit("")).alias("country"),
