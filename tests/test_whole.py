@@ -24,3 +24,11 @@ def test_long_first_lines_are_read(spark, tmp_path):
     for word in ("straddle", "tailword"):
         found = search(adapters.articles(spark, sf), adapters.sources(spark, sf), Criteria(keywords=(word,)), adapters.now())
         assert {r.id for r in found.collect()} == {0, 1}
+
+
+def test_language_is_that_of_the_whole_text(spark, tmp_path):
+    from tidewire.plans import q_articles
+
+    late = "title\n" + "zzz " * 600 + "der Mann ist nicht auf dem Berg und das Kind auch nicht"
+    sf = documents(spark, tmp_path, [late, "der Mann ist nicht auf dem Berg\nzzz"], lang="fr")
+    assert {r.id: r.detected for r in q_articles.lang_detect(spark, sf).collect()} == {0: "de", 1: "de"}

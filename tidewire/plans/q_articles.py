@@ -29,7 +29,7 @@ def categorised(spark, sf_dir):
 
 def lang_detect(spark, sf_dir):
     words = {k: lang.FUNCTION_WORDS[k] for k in ("en", "es", "fr", "de")}
-    return A.articles(spark, sf_dir).select("id", lang.detect(F.substring("content", 1, 2000), F.lit("en"), words).alias("detected"))
+    return A.articles(spark, sf_dir).select("id", lang.detect(F.concat_ws("\n", "title", "summary", "content"), F.lit("en"), words).alias("detected"))
 
 
 def tokens(spark, sf_dir):
