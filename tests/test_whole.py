@@ -32,3 +32,20 @@ def test_language_is_that_of_the_whole_text(spark, tmp_path):
     late = "title\n" + "zzz " * 600 + "der Mann ist nicht auf dem Berg und das Kind auch nicht"
     sf = documents(spark, tmp_path, [late, "der Mann ist nicht auf dem Berg\nzzz"], lang="fr")
     assert {r.id: r.detected for r in q_articles.lang_detect(spark, sf).collect()} == {0: "de", 1: "de"}
+
+
+def test_pairs_of_all_languages_by_brute_force(spark, tmp_path):
+    from tidewire.plans import q_articles
+
+    titles = ["quake kills many near harbour", "many dead: quake near harbour", "harbour fair opens", "the quake", "quake near harbour kills", ""]
+    rows = [(i, t, ("en", "fr", None)[i % 3], "src1", len(t)) for i, t in enumerate(titles)]
+    sf = tables(spark, tmp_path, rows)
+    held = {r.id: set(r.tokens) for r in q_articles.tokens(spark, sf).collect()}
+    want = {}
+    for i in held:
+        for j in held:
+            n = len(held[i] & held[j])
+            if i < j and n >= 2 and n / min(len(held[i]), len(held[j])) >= 0.5:
+                want[i, j] = (n, round(n / min(len(held[i]), len(held[j])), 6))
+    assert (0, 1) in want and (0, 4) in want and (1, 4) in want
+    assert {(r.id, r.other): (r.shared, r.similarity) for r in q_articles.pair_similarity(spark, sf).collect()} == want

@@ -42,7 +42,7 @@ def cluster_tokens(spark, sf_dir):
 
 
 def pair_similarity(spark, sf_dir):
-    t = tokens(spark, sf_dir).filter("language <> 'en'").select("id", "tokens")
+    t = tokens(spark, sf_dir).select("id", "tokens")
     return coverage.similar_pairs(t, t, least_shared=2).filter("id < other").select("id", "other", "shared", F.round("similarity", 6).alias("similarity"))
 
 
