@@ -56,6 +56,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of op 8: the conversations in reply order. op8_chat_formatting has the links of each message."""
+    return chat.conversations(base.table(spark, sf_dir, "conversations"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.replies(base.table(spark, sf_dir, "conversations"))
 
