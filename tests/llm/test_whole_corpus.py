@@ -2,7 +2,7 @@
 
 import collections
 
-from tidewire.llm import queries
+from tidewire.llm import chat, queries
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 
@@ -16,3 +16,8 @@ def test_conversations_are_a_query(spark, tmp_path):
         found[r.conv_id] += [(m.role, m.content) for m in r.messages]
     assert found == {1: [("user", rows[0][3]), ("assistant", "An answer."), ("user", rows[1][3]), ("assistant", "Late.")], 2: [("user", "")]}
 
+
+def test_short_quotes_are_linked(spark):
+    rows = [(1, 0, "user", "Yes."), (1, 1, "user", "好的"), (1, 2, "user", "Other words here."), (1, 3, "assistant", "> Yes.\nFine"), (1, 4, "assistant", ">好的\n>\n"), (1, 5, "user", ">\n> \nnothing quoted")]
+    got = {r.turn: (r.parent_turn, r.thread_root, r.n_quoted, r.n_linked) for r in chat.replies(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got[3] == (0, 0, 1, 1) and got[4] == (1, 1, 1, 1) and got[5] == (None, 5, 0, 0)

@@ -4,7 +4,7 @@ The marks ('>' with blanks between them) at the start of a line give its quote l
 are a message's own words; an attribution line just above a quote ("On ... wrote:") is dropped with it.
 Neighbouring lines of one level make a passage; blanks are collapsed and letters put in lower case,
 so re-wrapped quotes are alike, and the hashes of its sentences are joined to those of the own words of earlier messages
-of the conversation, the latest one winning. A message replies to the one that most of its
+of the conversation, the latest one winning; sentences of any length count. A message replies to the one that most of its
 sentences of the shallowest linked level come from (ties: the latest turn). Following replies up gives each
 message its thread root and depth.
 
@@ -59,7 +59,7 @@ def _own(lines: str = "lines") -> Column:
 def _sentences(text: Column) -> Column:
     """Hashes of the sentences of a passage in normal form."""
     normal = F.btrim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
-    return F.transform(F.filter(F.split(normal, r"(?<=[.!?:]) "), lambda s: F.length(s) >= 8), lambda s: F.xxhash64(s))
+    return F.transform(F.filter(F.split(normal, r"(?<=[.!?:]) "), lambda s: F.length(s) > 0), lambda s: F.xxhash64(s))
 
 
 def _passages() -> Column:
