@@ -2,7 +2,7 @@
 
 import collections
 
-from tidewire.llm import chat, queries
+from tidewire.llm import chat, decontaminate, queries
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 
@@ -21,3 +21,13 @@ def test_short_quotes_are_linked(spark):
     rows = [(1, 0, "user", "Yes."), (1, 1, "user", "好的"), (1, 2, "user", "Other words here."), (1, 3, "assistant", "> Yes.\nFine"), (1, 4, "assistant", ">好的\n>\n"), (1, 5, "user", ">\n> \nnothing quoted")]
     got = {r.turn: (r.parent_turn, r.thread_root, r.n_quoted, r.n_linked) for r in chat.replies(spark.createDataFrame(rows, MESSAGES)).collect()}
     assert got[3] == (0, 0, 1, 1) and got[4] == (1, 1, 1, 1) and got[5] == (None, 5, 0, 0)
+
+
+def test_copies_in_other_case_are_found(spark):
+    item = "A train leaves the old station of the city at 9 in the morning, Anna Miller rides 120 km with it and 120 again"
+    named = "so we said that Anna Miller and Peter Smith and Mary Jones will ride"
+    bench = spark.createDataFrame([(1, item), (2, named)], "item_id long, text string")
+    texts = [item.title(), item.upper(), item.lower(), named.title(), named.lower(), "Nothing Of The Kind Is In Here At All Today 9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched == r.n_windows, r.same_values) for r in decontaminate.contaminated(rows, bench).collect()}
+    assert got == {(i, 1 + (i > 2)): (True, True) for i in range(5)}

@@ -3,7 +3,8 @@
 Texts become tokens (runs of letters, numbers) in lower case. Numbers, names (a capitalised word after
 a letter, number, comma or semicolon and one space) and units (a known unit after a number)
 become typed placeholders. Windows of ``WINDOW`` tokens of the benchmark and of all documents are hashed and
-joined; windows in which more than half of the tokens are placeholders are hashed literally. Windows that match
+joined; windows in which more than half of the tokens are placeholders are hashed literally. A window with
+placeholders is also hashed by its tokens in lower case, so that a copy in other case (Title Case) matches. Windows that match
 on one diagonal (document place less item place) are one occurrence. It is consistent if each
 slot value of the item has one value in the document; then the passage is the item, perhaps with other parameters. A
 document is contaminated by an item if the windows of its consistent occurrences cover at least
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import base
+
 WINDOW, COVERED, BROADCAST_ROWS = 8, 50, 200_000
 #: Units, fixed values.
 UNITS = ("mg", "g", "kg", "t", "mm", "cm", "m", "km", "ml", "cl", "l", "ms", "s", "min", "h", "km/h", "w", "kw", "kwh", "mb", "gb", "tb", "usd", "eur", "euro", "euros", "dollar", "dollars", "meter", "meters", "miles", "hours", "minutes", "seconds", "days", "years")
@@ -41,24 +44,26 @@ def _tokens(marked: Column) -> Column:
 
 
 def _windows(size: int) -> Column:
-    """Windows of size tokens over the columns c (canonical) and v (literal): key, place, values of windows with slots."""
+    """Windows of size tokens over the columns c (canonical), v (literal) and u (v without name marks): key, literal, place and values; literal and values of windows with slots."""
     c = lambda i: [F.get("c", i + k) for k in range(size)]
     v = lambda i: [F.get("v", i + k) for k in range(size)]
+    u = lambda i: [F.get("u", i + k) for k in range(size)]
 
     def window(i: Column) -> Column:
         slots = sum((x.between(_NAME_KEY, _UNIT_KEY).cast("int") for x in c(i)), F.lit(0))
         key = F.when(2 * slots > size, F.xxhash64(F.lit(-size), *v(i))).otherwise(F.xxhash64(F.lit(size), *c(i)))
-        return F.struct(key.alias("key"), i.alias("at"), F.when(slots > 0, F.slice("v", i + 1, F.lit(size))).alias("values"))
+        literal = F.when(slots > 0, F.xxhash64(F.lit(size), *u(i)))
+        return F.struct(key.alias("key"), literal.alias("literal"), i.alias("at"), F.when(slots > 0, F.slice("v", i + 1, F.lit(size))).alias("values"))
 
     def plain(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(size), *v(i)).alias("key"), i.alias("at"), F.lit(None).cast("array<bigint>").alias("values"))
+        return F.struct(F.xxhash64(F.lit(size), *v(i)).alias("key"), F.lit(None).cast("bigint").alias("literal"), i.alias("at"), F.lit(None).cast("array<bigint>").alias("values"))
 
     places = F.sequence(F.lit(0), F.size("v") - size)
     return F.when(F.col("slotted"), F.transform(places, window)).otherwise(F.transform(places, plain))
 
 
 def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
-    """key, n_windows and one row for each window; sizes: None for the one of each item, else those to make."""
+    """key, size and one row for each window; sizes: None for the one of each item, else those to make."""
     digit = lambda w: F.ascii(w).between(48, 57)
     marked = texts.select(key, _marked(F.col("text")).alias("marked"))
     # Without a number or a name there is no slot, so the canonical tokens are the literal ones.
@@ -68,9 +73,10 @@ def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
         unit = digit(F.get("tokens", i - 1)) & w.isin(*UNITS)
         return F.when(F.ascii(w) == 2, _NAME_KEY).when(digit(w), _NUMBER_KEY).when(unit, _UNIT_KEY).otherwise(F.xxhash64(w))
 
-    hashed = tokens.withColumn("c", F.when(F.col("slotted"), F.transform("tokens", canonical))).drop("tokens")
+    bare = F.transform("tokens", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME_MARK))))
+    hashed = tokens.withColumns({"c": F.when(F.col("slotted"), F.transform("tokens", canonical)), "u": F.when(F.col("slotted"), bare)}).drop("tokens")
     n = F.size("v")
-    none = F.array().cast("array<struct<key:bigint,at:int,values:array<bigint>>>")
+    none = F.array().cast("array<struct<key:bigint,literal:bigint,at:int,values:array<bigint>>>")
     if sizes is None:
         made = none
         for size in range(1, WINDOW + 1):
@@ -80,20 +86,25 @@ def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
         made = F.concat(*[F.when(n >= size, _windows(size)).otherwise(none) for size in sizes])
         hashed = hashed.withColumn("size", F.lit(WINDOW))
     # The outer form keeps the optimiser from making the windows once more in a filter below.
-    return hashed.select(key, "size", made.alias("made")).select(key, "size", F.explode_outer("made").alias("w")).filter(F.col("w").isNotNull()).select(key, "size", "w.key", "w.at", "w.values")
+    return hashed.select(key, "size", made.alias("made")).select(key, "size", F.explode_outer("made").alias("w")).filter(F.col("w").isNotNull()).select(key, "size", "w.key", "w.literal", "w.at", "w.values")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED) -> DataFrame:
     """doc_id, item_id, n_matched and n_windows (distinct windows of the item), and same_values (no slot was changed)."""
-    items = windows(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct(), "item_id", None)
-    items = items.groupBy("item_id", "size", "key").agg(F.min("at").alias("item_at"), F.min_by("values", "at").alias("item_values"))
-    totals = items.groupBy("item_id").agg(F.count_distinct("key").alias("n_windows"))
-    items = items.persist()
-    rows, sizes = items.count(), sorted(r[0] for r in items.select("size").distinct().collect())
-    held = items.drop("size").join(totals, "item_id")
+    items = windows(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct(), "item_id", None).persist()
+    typed = items.groupBy("item_id", "size", "key").agg(F.min("at").alias("item_at"), F.min_by("values", "at").alias("item_values")).withColumn("hash", F.col("key"))
+    literal = items.filter("literal IS NOT NULL").groupBy("item_id", "size", "key", F.col("literal").alias("hash")).agg(F.min("at").alias("item_at"))
+    totals = typed.groupBy("item_id").agg(F.count_distinct("key").alias("n_windows"))
+    held = typed.unionByName(literal, allowMissingColumns=True).join(totals, "item_id").persist()
+    rows, sizes = held.count(), sorted(r[0] for r in held.select("size").distinct().collect())
     made = windows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id", sizes or [WINDOW]).drop("size")
-    matched = made.join(F.broadcast(held) if rows <= BROADCAST_ROWS else held, "key")
+    # A window with slots also meets the items by its letters and numbers alone, where no slot speaks.
+    alone = F.array(F.struct(F.col("key").alias("hash"), F.col("values")))
+    both = F.array(F.struct(F.col("key").alias("hash"), F.col("values")), F.struct(F.col("literal").alias("hash"), F.lit(None).cast("array<bigint>").alias("values")))
+    made = made.select("doc_id", "at", F.explode(F.when(F.col("literal").isNull(), alone).otherwise(both)).alias("w")).select("doc_id", "at", "w.hash", "w.values")
+    matched = made.join(F.broadcast(held.drop("size")) if rows <= BROADCAST_ROWS else held.drop("size"), "hash")
     matched = matched.select("doc_id", "item_id", "n_windows", "key", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("slots"))
+    matched = base.Scratch(docs.sparkSession, "decontaminate").keep(matched, "matched")  # read twice below
     occurrence = ["doc_id", "item_id", "diagonal"]
     # Literal tokens of a window are equal on both sides, so they never speak against a slot.
     slots = (
