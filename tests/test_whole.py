@@ -49,3 +49,20 @@ def test_pairs_of_all_languages_by_brute_force(spark, tmp_path):
                 want[i, j] = (n, round(n / min(len(held[i]), len(held[j])), 6))
     assert (0, 1) in want and (0, 4) in want and (1, 4) in want
     assert {(r.id, r.other): (r.shared, r.similarity) for r in q_articles.pair_similarity(spark, sf).collect()} == want
+
+
+def test_all_expired_articles_go(spark, tmp_path):
+    from tidewire.plans import q_ops
+
+    sf = documents(spark, tmp_path, ["t"] * 150)
+    assert q_ops.retention_keep(spark, sf).count() == 0
+
+
+def test_growth_reads_the_first_and_last_sample_by_time(spark, tmp_path):
+    from datetime import datetime
+
+    from tidewire.plans import q_ops
+
+    sf = tables(spark, tmp_path, [(3, datetime(2024, 1, 1)), (1, datetime(2024, 1, 2)), (9, datetime(2024, 1, 3)), (5, datetime(2024, 1, 5))], "events", "event_id long, ts timestamp_ntz")
+    got = q_ops.growth(spark, sf).collect()
+    assert [(r.bytes_day, r.articles_day) for r in got] == [(500.0, 0.5)]

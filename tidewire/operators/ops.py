@@ -63,9 +63,10 @@ def growth(samples: DataFrame, ceiling: float) -> DataFrame:
 # Retention and scheduling
 
 
-def doomed(articles: DataFrame, now: Column, days: int = 30, most: int = 5000) -> DataFrame:
-    """The oldest articles past retention, a bounded number for each pass."""
-    return articles.filter(F.col("published_at") < now - F.make_dt_interval(days=F.lit(days))).orderBy("published_at", "id").limit(most).select("id")
+def doomed(articles: DataFrame, now: Column, days: int = 30, most: int | None = 5000) -> DataFrame:
+    """The oldest articles past retention, a bounded number for each pass; most: None for all of them."""
+    past = articles.filter(F.col("published_at") < now - F.make_dt_interval(days=F.lit(days)))
+    return (past if most is None else past.orderBy("published_at", "id").limit(most)).select("id")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
