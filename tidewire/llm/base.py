@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +38,45 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % n
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
+_TRACKED: list[list["Scratch"]] = []
+
+
+@contextmanager
+def released():
+    """Deletes, at its end, the tables that operators made inside: for callers who have written their result by then."""
+    _TRACKED.append([])
+    try:
+        yield
+    finally:
+        for work in _TRACKED.pop():
+            work.drop("")
+
+
 class Scratch:
     """Tables in the shared folder named by spark.checkpoint.dir.
 
     They cut the lineage, so a lost executor costs a reread of files that every
-    executor sees. A folder of our own is set only where the setting is missing.
+    executor sees. Only where the setting is missing and Spark runs on one machine is a folder of our own set.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
+        self.spark, self.tables = spark, {}
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="tidewire-")
-            spark.sparkContext.setCheckpointDir(root)
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = _own_folder()
         self.root = f"{root.rstrip('/')}/tidewire-{tag}-{uuid.uuid4().hex}"
+        for opened in _TRACKED[-1:]:
+            opened.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}".rstrip("/")
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write df and return it as read from the written files."""
@@ -59,9 +84,17 @@ class Scratch:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
+        """Write df, already dealt by keys into n partitions, as n sorted buckets; joins and groups by keys then need no exchange."""
+        table = self.tables[name] = f"tw_{uuid.uuid4().hex}"
+        df.write.option("path", self.path(name)).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
-        """Delete tables that no result reads any more."""
+        """Delete tables that no result reads any more; "" is all of them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in [self.tables.pop(n) for n in list(self.tables) if n in names or "" in names]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
