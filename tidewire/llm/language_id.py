@@ -7,13 +7,15 @@ for a language adds the log-probabilities of its words (runs of letters in lower
 each) and the log-prior of the language; the prediction is the best language, its score the posterior.
 
 Piece probabilities come from a few rounds of expectation maximisation over the most frequent
-words of each language in a bounded sample of labelled documents.
+words of each language in a bounded sample of labelled documents, drawn by language; priors are the shares
+of all labelled documents.
 
-Forward runs for thousands of words at once: piece ids of all substrings are found by rolling
-hashes in a table, then one vector step per (start, length). Words longer than ``LONG`` bytes are
-cut into segments of that many bytes that are scored one after the other.
+Forward runs for thousands of words at once: piece ids of substrings are found by rolling hashes in a
+table that also knows which substrings begin a piece, then one vector step per (start, length). A word of
+any length is summed over all its segmentations: it is read ``LONG`` bytes at a time, and the forward cells
+that pieces have reached beyond that are carried on, scaled to stay in range.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows with a null lang or
+Nulls: a null text, or one without a letter (Unicode L), is ``und`` with score 0. Rows with a null lang or
 doc_id teach nothing. Repeated rows teach once and are predicted each. Equally good languages
 give the first by code point. With no labelled rows all texts are ``und``. Extra columns pass
 through ``predict`` unread; input columns named like results are replaced.
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LONG, LONGEST_PIECE, BLOCK = 48, 16, 20_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of a word that are read at once, words of a block, cells of a forward table.
+LONG, BLOCK, CELLS = 48, 8192, 4_000_000
+#: Longer words, in bytes, teach nothing (they are predicted whole).
+LONGEST_TAUGHT = 1024
+#: Runs of letters and of other numerals; those with other numerals are split once more.
+_RUNS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Probabilities are scaled by this per byte, so products of many stay in range.
 _SCALE = 32.0
@@ -40,6 +46,16 @@ _SCALE = 32.0
 KEPT_WORDS = 400_000
 
 
+def letters(text: str | None) -> Counter:
+    """The words of a text (runs of letters, Unicode L, in lower case) and how often each occurs."""
+    words = Counter(_RUNS.findall((text or "").lower()))
+    for run in [w for w in words if not w.isalpha()]:
+        n = words.pop(run)
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            words[word] += n
+    return words
+
+
 def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes + 1 of each word, filled with 0 to the longest, and the lengths."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -51,58 +67,65 @@ def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Pieces as byte strings, found by rolling hash; a leading word mark is a blank."""
+    """Pieces as byte strings, found by rolling hash; a leading word mark is a blank.
+
+    Ids below ``size`` are pieces, those from there to ``nodes`` only begin pieces; ``inner`` marks what begins a longer piece.
+    """
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= LONGEST_PIECE} | {bytes([b]) for b in range(256)})
+        self.pieces = sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
         self.longest = max(map(len, self.pieces))
-        keys = np.zeros(len(self.pieces), np.uint64)
-        for i, piece in enumerate(self.pieces):
+        self.size = len(self.pieces)
+        begun = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        names = self.pieces + sorted(begun - set(self.pieces))
+        self.nodes = len(names)
+        self.inner = np.array([*(n in begun for n in names), False])
+        keys = np.zeros(self.nodes + 1, np.uint64)
+        for i, name in enumerate(names):
             h = 0
-            for c in piece:
+            for c in name:
                 h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
             keys[i] = h
-        self.keys = np.append(keys, np.uint64(0))
-        self.size = len(self.pieces)
-        bits = 20
-        self.shift = np.uint64(64 - bits)
-        self.slots = np.full(1 << bits, self.size, np.int32)
-        self.more = np.full(1 << bits, self.size, np.int32)
-        self.salt = np.uint64(0xD1B54A32D192ED03)
-        first, second = self._slot(keys), self._slot(keys * self.salt)
-        for i, (a, b) in enumerate(zip(first.tolist(), second.tolist())):
-            if self.slots[a] == self.size:
-                self.slots[a] = i
-                continue
-            if self.more[b] != self.size:
-                raise ValueError("two pieces share both slots")
-            self.more[b] = i
+        self.keys = keys
+        bits = max(20, (8 * self.nodes).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, self.nodes, np.int32)
+        for i, at in enumerate(self._slot(keys[:-1]).tolist()):
+            while self.slots[at] != self.nodes:
+                at = (at + 1) & self.mask
+            self.slots[at] = i
 
     def _slot(self, h):
         h = h ^ (h >> np.uint64(29))
-        return (h * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes; size where there is none."""
-        found = self.slots[self._slot(h)]
-        miss = self.keys[found] != h
-        if miss.any():
-            at = np.flatnonzero(miss)
-            second = self.more[self._slot(h[at] * self.salt)]
-            found[at] = np.where(self.keys[second] == h[at], second, self.size)
+        """Ids of what has these hashes; ``nodes`` where there is nothing."""
+        at = self._slot(h)
+        found = self.slots[at]
+        wrong = np.flatnonzero((self.keys[found] != h) & (found != self.nodes))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(self.keys[found[wrong]] != h[wrong]) & (found[wrong] != self.nodes)]
         return found
 
-    def lattice(self, codes: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, length, rows, piece ids) of all pieces inside the words, starts in order."""
-        out, width = [], codes.shape[1]
-        for start in range(width):
-            h = np.zeros(len(codes), np.uint64)
-            for n in range(1, min(self.longest, width - start) + 1):
-                h = h * _BASE + codes[:, start + n - 1]
+    def lattice(self, codes: np.ndarray, lengths: np.ndarray, starts: int | None = None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, length, rows, piece ids) of all pieces that begin in the words (or at their first places), starts in order."""
+        out, width, columns = [], codes.shape[1], np.ascontiguousarray(codes.T)
+        for start in range(width if starts is None else min(width, starts)):
+            rows = np.flatnonzero(lengths > start)
+            h = columns[start][rows]
+            for n in range(1, self.longest + 1):
                 ids = self.find(h)
-                rows = np.flatnonzero((ids != self.size) & (lengths >= start + n))
-                if len(rows):
-                    out.append((start, n, rows, ids[rows]))
+                hit = ids < self.size
+                if hit.any():
+                    out.append((start, n, rows[hit], ids[hit]))
+                more = self.inner[ids] & (lengths[rows] > start + n)
+                rows = rows[more]
+                if not len(rows):
+                    break
+                h = h[more] * _BASE + columns[start + n][rows]
         return out
 
 
@@ -121,10 +144,15 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 def forward(lattice, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Scaled forward sums (words, positions, languages) for scaled piece probabilities p (pieces, languages)."""
-    a = np.zeros((len(lengths), int(lengths.max(initial=0)) + 1, p.shape[1]))
-    a[:, 0] = 1
+    a = np.zeros((int(lengths.max(initial=0)) + 1, len(lengths), p.shape[1]))
+    a[0] = 1
+    return np.moveaxis(_onward(a, lattice, p), 0, 1)
+
+
+def _onward(a: np.ndarray, lattice, p: np.ndarray) -> np.ndarray:
+    """Add what each piece brings from its start to its end; a has (positions, words, languages)."""
     for start, n, rows, ids in lattice:
-        a[rows, start + n] += a[rows, start] * p[ids]
+        a[start + n][rows] += a[start][rows] * p[ids]
     return a
 
 
@@ -132,38 +160,53 @@ def _scaled(vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     return p * (_SCALE ** np.fromiter(map(len, vocabulary.pieces), float, vocabulary.size))[:, None]
 
 
+def _encoded(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "replace")
+
+
+def _blocks(words: list[bytes], most: int, cells: int, width: int | None = None):
+    """Indexes of the words by length, in blocks of at most that many words and cells; width: the largest to count."""
+    order, block, n = sorted(range(len(words)), key=lambda i: len(words[i])), [], 0
+    for i in order:
+        n = len(words[i]) if width is None else min(width, len(words[i]))
+        if block and (len(block) == most or (len(block) + 1) * (n + 1) > cells):
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
+
+
 def learn(vocabulary: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = 3, floor: float = 1e-7) -> np.ndarray:
-    """Piece probabilities (pieces, languages) from word counts of each language."""
+    """Piece probabilities (pieces, languages) from word counts of each language; sums are kept as logarithms."""
     out = np.zeros((vocabulary.size, len(counts)))
     for k, words in enumerate(counts.values()):
-        parts = Counter()
-        for word, n in words.items():
-            data = b" " + word.encode("utf-8", "replace")
-            for i in range(0, len(data), LONG):
-                parts[data[i : i + LONG]] += n
+        taught = [(data, n) for data, n in ((_encoded(w), n) for w, n in words.items()) if len(data) <= LONGEST_TAUGHT]
         blocks = []
-        ordered = sorted(parts, key=lambda w: (len(w), w))
-        for i in range(0, len(ordered), BLOCK):
-            codes, lengths = _codes(ordered[i : i + BLOCK])
-            blocks.append((vocabulary.lattice(codes, lengths), lengths, np.array([parts[w] for w in ordered[i : i + BLOCK]], float)))
+        for at in _blocks([w for w, _ in taught], BLOCK, CELLS):
+            codes, lengths = _codes([taught[i][0] for i in at])
+            blocks.append((vocabulary.lattice(codes, lengths), lengths, np.array([taught[i][1] for i in at], float)))
         seen = np.zeros(vocabulary.size)
         for lattice, _, n in blocks:
             for _, _, rows, ids in lattice:
                 seen += np.bincount(ids, n[rows], vocabulary.size)
-        p = (seen / max(1.0, seen.sum()) + floor)[:, None]
+        p = seen / max(1.0, seen.sum()) + floor
         for _ in range(rounds):
-            q, seen = _scaled(vocabulary, p), np.zeros(vocabulary.size)
+            logs, seen = np.log(p), np.zeros(vocabulary.size)
             for lattice, lengths, n in blocks:
-                a = forward(lattice, q, lengths)[:, :, 0]
-                b = np.zeros_like(a)
-                b[np.arange(len(lengths)), lengths] = 1
+                here = np.arange(len(lengths))
+                a = np.full((int(lengths.max(initial=0)) + 1, len(lengths)), -np.inf)
+                b = a.copy()
+                a[0], b[lengths, here] = 0, 0
+                for start, size, rows, ids in lattice:
+                    a[start + size][rows] = np.logaddexp(a[start + size][rows], a[start][rows] + logs[ids])
                 for start, size, rows, ids in reversed(lattice):
-                    b[rows, start] += q[ids, 0] * b[rows, start + size]
-                each = n / np.maximum(a[np.arange(len(lengths)), lengths], 1e-300)
+                    b[start][rows] = np.logaddexp(b[start][rows], b[start + size][rows] + logs[ids])
+                whole = a[lengths, here]
                 for start, size, rows, ids in lattice:
-                    seen += np.bincount(ids, a[rows, start] * q[ids, 0] * b[rows, start + size] * each[rows], vocabulary.size)
-            p = (seen / max(1.0, seen.sum()) + floor)[:, None]
-        out[:, k] = p[:, 0] / p.sum()
+                    seen += np.bincount(ids, n[rows] * np.exp(a[start][rows] + logs[ids] + b[start + size][rows] - whole[rows]), vocabulary.size)
+            p = seen / max(1.0, seen.sum()) + floor
+        out[:, k] = p / p.sum()
     return out
 
 
@@ -178,23 +221,37 @@ class Model:
         self.table = np.zeros((self.kept, len(languages)))
 
     def word_logs(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word in each language."""
-        data, owner = [], []
-        for i, word in enumerate(words):
-            raw = b" " + word.encode("utf-8", "replace")
-            for j in range(0, len(raw), LONG):
-                data.append(raw[j : j + LONG])
-                owner.append(i)
-        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        """Log-probability of each word in each language, over all segmentations whatever its length."""
+        data = [_encoded(w) for w in words]
         out = np.zeros((len(words), len(self.languages)))
-        for k in range(0, len(order), BLOCK):
-            at = order[k : k + BLOCK]
-            codes, lengths = _codes([data[i] for i in at])
-            a = forward(self.vocabulary.lattice(codes, lengths), self.q, lengths)[np.arange(len(at)), lengths]
-            logs = np.log(np.maximum(a, 1e-300)) - lengths[:, None] * np.log(_SCALE)
-            np.add.at(out, np.array(owner)[at], logs)
+        width = LONG + self.vocabulary.longest
+        for block in _blocks(data, BLOCK, CELLS // max(1, len(self.languages)), width):
+            self._block_logs(data, np.array(block), width, out)
         return out
 
+    def _block_logs(self, data: list[bytes], open_: np.ndarray, width: int, out: np.ndarray) -> None:
+        begun, tiny = 0, 1e-300
+        a, carried = None, np.zeros((len(open_), len(self.languages)))
+        while len(open_):
+            codes, lengths = _codes([data[i][begun : begun + width - 1] for i in open_])
+            if a is None:
+                a = np.zeros((codes.shape[1] + 1, len(open_), len(self.languages)))
+                a[0] = 1
+            _onward(a, self.vocabulary.lattice(codes, lengths, LONG), self.q)
+            left = np.fromiter((len(data[i]) - begun for i in open_), np.int64, len(open_))
+            done = np.flatnonzero(left <= LONG)
+            whole = left[done] + begun
+            out[open_[done]] = np.log(np.maximum(a[left[done], done], tiny)) + carried[done] - whole[:, None] * np.log(_SCALE)
+            longer = np.flatnonzero(left > LONG)
+            if not len(longer):
+                return
+            # What pieces have reached beyond the bytes read goes on, as shares of its largest cell.
+            begun, open_, tail = begun + LONG, open_[longer], a[LONG:, longer]
+            top = np.maximum(tail.max(axis=0), tiny)
+            carried = carried[longer] + np.log(top)
+            a = np.zeros((width, len(open_), len(self.languages)))
+            a[: len(tail)] = tail / top
+
     def _look_up(self, words: list[str]) -> None:
         if len(self.known) + len(words) > self.kept:
             self.known.clear()
@@ -209,7 +266,7 @@ class Model:
         while start < len(texts):
             counts, size = [], 0
             while start < len(texts) and (size < 4_000_000 or not counts):
-                counts.append(Counter(_LETTERS.findall((texts[start] or "").lower())))
+                counts.append(letters(texts[start]))
                 size += len(texts[start] or "")
                 start += 1
             fresh = list(dict.fromkeys(w for words in counts for w in words if w not in self.known))
@@ -247,30 +304,37 @@ class Model:
 def train(docs: DataFrame, path: str, max_docs: int = 4000, max_words: int = 60_000, held_out_mod: int = 3, held_out_rest: int = 1, rounds: int = 3):
     """(languages, piece probabilities, priors) from labelled documents outside the held-out fold.
 
-    The sample is the max_docs documents of smallest hashed id; of its words each language
-    teaches with the most frequent, at most max_words over all languages.
+    The sample is about max_docs documents, shared evenly by the languages (20 documents each at least), those of smallest
+    hashed id; of its words each language teaches with the most frequent, at most max_words over all languages.
     """
     spark = docs.sparkSession
     base.python_ready(spark)
-    sample = (
+    work = base.Scratch(spark, "lang")
+    labelled = (
         docs.select("doc_id", "text", "lang")
         .filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (base.crc_mod(F.col("doc_id"), held_out_mod) != held_out_rest))
     )
-    chosen = sample.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    words = (
-        sample.join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
-        .groupBy("lang", "word").agg(F.count_distinct("doc_id").alias("n"))
-    )
-    work = base.Scratch(spark, "lang")
-    words = work.keep(words, "words")
-    n_docs = {r[0]: r[1] for r in sample.join(F.broadcast(chosen), "doc_id").groupBy("lang").agg(F.count_distinct("doc_id")).orderBy(F.desc("count(DISTINCT doc_id)"), "lang").limit(500).collect()}
+    totals = work.keep(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "totals")
+    n_docs = {r["lang"]: r["rows"] for r in totals.collect()}
     languages = sorted(n_docs)
+    each_docs = max(20, max_docs // max(1, len(languages)))
+
+    @F.pandas_udf("array<string>")
+    def words_of(texts: pd.Series) -> pd.Series:
+        from tidewire.llm import language_id
+
+        return texts.map(lambda t: list(language_id.letters(t)))
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    sample = labelled.join(totals, "lang").filter(place * F.col("rows") < each_docs)
+    words = sample.select("doc_id", "lang", F.explode(words_of("text")).alias("word")).groupBy("lang", "word").agg(F.count_distinct("doc_id").alias("n"))
+    words = work.keep(words, "words")
     each = max_words // max(1, len(languages))
-    top = words.filter(F.col("lang").isin(languages) if languages else F.lit(False)).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("place") <= each)
+    top = words.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("place") <= each)
     counts: dict[str, dict[str, int]] = {k: {} for k in languages}
     for row in top.select("lang", "word", "n").orderBy("lang", F.desc("n"), "word").toArrow().to_pylist():
         counts[row["lang"]][row["word"]] = row["n"]
+    work.drop("totals", "words")
     p = learn(load_vocabulary(path), counts, rounds)
     n = np.array([n_docs[k] for k in languages], float)
     return languages, p.astype(np.float32), (n + 1) / (n + 1).sum()
