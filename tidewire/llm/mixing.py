@@ -35,11 +35,22 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
 
 
+def _placed(sources: DataFrame, work: base.Scratch) -> DataFrame:
+    """sources with their place by code point, null last: by range first, then inside each range."""
+    order = F.col("source").asc_nulls_last()
+    ranges = work.keep(sources.select("source", "source_size").orderBy(order).withColumn("range", F.spark_partition_id()), "ranges")
+    # One row for each range, so this window has no more rows than the sort had partitions.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return ranges.withColumn("inside", inside).join(starts, "range").select("source", "source_size", (F.col("start") + F.col("inside")).alias("place"))
+
+
 def targets(sources: DataFrame, work: base.Scratch, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """source, source_size and target of a table (source, source_size), one row for each source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    place = F.col("place")
     weight = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int"))
-    table = work.keep(sources.select("source", "source_size", weight.alias("weight")), "weighted")
+    table = work.keep(_placed(sources, work).select("source", "source_size", weight.alias("weight")), "weighted")
     cap = max_epochs * F.col("source_size")
     budget = table.agg(F.sum("source_size")).first()[0] or 0
     rest, open_weight, capped = budget, None, -1
@@ -81,7 +92,8 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
     in_cell = Window.partitionBy("source", "cell").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     alike = Window.partitionBy("source", "cell", "order")
     at_edge = docs.filter("cell = edge").withColumn("upto", F.sum("size").over(in_cell)).withColumn("own", F.sum("size").over(alike))
-    fits = (F.col("upto") - F.col("own") / 2 <= F.col("left")).cast("long")
+    # A source at its cap has no part left, so no document, not even an empty one, is taken once more.
+    fits = ((F.col("part") > 0) & (F.col("upto") - F.col("own") / 2 <= F.col("left"))).cast("long")
     columns = ["doc_id", "source", "size", "source_size", "target"]
     return (
         at_edge.select(*columns, (F.col("whole") + fits).alias("times"))
