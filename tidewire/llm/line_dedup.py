@@ -2,10 +2,13 @@
 
 ``LineRuns`` is a store of runs. A run has one row for each line key of a batch: its 128-bit hash,
 the number of documents that hold it and, if no earlier run knew the key, the largest document
-holding it; rows are range-partitioned and sorted by hash. A new batch is reduced to its keys,
-merge-anti-joined with the runs (a key that none of them has is the batch's own and gets an
+holding it; rows are dealt into buckets by hash and sorted in each. A new batch is reduced to its keys,
+merge-joined with the runs (a key that none of them has is the batch's own and gets an
 owner; a known key only adds its count) and written as a run of level 0. When a level has
-``fanout`` runs they are merged into one of the next level, so a batch meets few runs.
+``fanout`` runs they are merged into one of the next level, so a batch meets few runs. All runs have the same
+buckets, so joins with them and merges of them exchange nothing; only a new batch is dealt out.
+A batch is a fixed share of the documents (a quarter): every further batch reads all runs once more,
+so few large batches cost least, and a batch needs no more memory than its own shuffle.
 
 Batches come in falling order of doc_id, so the owner of a key is the largest document with it.
 A key of at least ``min_chars`` code points, found in at least ``min_docs`` documents, then loses
@@ -13,11 +16,14 @@ its lines everywhere but in its owner.
 
 Nulls: a null or empty text is one empty line. Rows with a null doc_id keep all their lines and
 count for no key. Repeated rows of a doc_id count as one document, and the owner's rows all keep
-the line. Empty tables give empty results. Extra columns pass through ``dedup_lines`` unread.
+the line. Empty tables give empty results. Extra columns pass through ``dedup_lines`` unread, but for those
+named n_lines and n_dropped, which its counts replace.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -54,43 +60,36 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes in the shared scratch folder."""
+    """Levelled sorted runs of line hashes in the shared scratch folder, all dealt into the same buckets."""
 
     def __init__(self, spark: SparkSession, work: base.Scratch, fanout: int = 3):
         self.spark, self.work, self.fanout = spark, work, fanout
-        self.levels: list[list[str]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
         self._made = 0
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(self.work.path(name))
-
-    def _write(self, rows: DataFrame, level: int) -> str:
+    def _write(self, rows: DataFrame, level: int) -> tuple[str, DataFrame]:
         self._made += 1
         name = f"run-{level}-{self._made}"
-        rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(self.work.path(name))
-        return name
+        return name, self.work.bucketed(rows.select("key", "n_docs", "owner"), name, self.buckets, "key")
 
-    def rows(self) -> DataFrame | None:
-        """The rows of all runs."""
-        found = None
-        for name in (n for level in self.levels for n in level):
-            found = self._read(name) if found is None else found.unionByName(self._read(name))
-        return found
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in level]
 
     @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
+    def merged(runs: list[DataFrame]) -> DataFrame:
+        """One row for each key of the runs; as they have the same buckets, nothing is exchanged."""
+        rows = reduce(DataFrame.unionByName, runs)
         return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
     def add(self, keys: DataFrame) -> None:
         """Take in a batch of (doc_id, key) whose documents are smaller than all before."""
         batch = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("owner"))
-        known = self.rows()
-        if known is not None:
-            batch = self.work.keep(batch, f"batch-{self._made}")
-            known = known.select("key").hint("merge")
-            fresh = batch.join(known, "key", "left_anti")
-            seen = batch.join(known, "key", "left_semi").withColumn("owner", F.lit(None).cast("long"))
-            batch = fresh.unionByName(seen)
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(run.select("key", F.lit(True).alias(f"in_{i}")).hint("merge"), "key", "left")
+            known = known | F.col(f"in_{i}").isNotNull()
+        batch = batch.withColumn("owner", F.when(~known, F.col("owner")))
         self.levels[0].append(self._write(batch, 0))
         self._compact()
 
@@ -98,20 +97,16 @@ class LineRuns:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            rows = self._read(old[0])
-            for name in old[1:]:
-                rows = rows.unionByName(self._read(name))
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self.merged(rows), level + 1))
+            self.levels[level + 1].append(self._write(self.merged([run for _, run in old]), level + 1))
             self.levels[level] = []
-            self.work.drop(*old)
+            self.work.drop(*(name for name, _ in old))
             level += 1
 
     def keys(self) -> DataFrame:
         """(key, n_docs, owner), one row for each key."""
-        rows = self.rows()
-        return self.merged(rows) if rows is not None else self.spark.createDataFrame([], _RUN)
+        return self.merged(self.runs()) if self.runs() else self.spark.createDataFrame([], _RUN)
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -135,8 +130,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batche
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, counts: bool = True) -> DataFrame:
+    """docs with text replaced by the kept lines; counts adds n_lines and n_dropped (replacing columns of that name)."""
     gone = dropped_keys(docs, min_chars, min_docs, batches, fanout).withColumnsRenamed({"doc_id": "__tw_id", "gone": "__tw_gone"})
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -151,9 +146,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
+    names = ("text", "n_lines", "n_dropped") if counts else ("text",)
     return (
         docs.join(gone, F.col("doc_id").cast("long") == F.col("__tw_id"), "left")
         .withColumn("__tw_cut", cut("text", "__tw_gone"))
-        .withColumns({"text": F.col("__tw_cut.text"), "n_lines": F.col("__tw_cut.n_lines"), "n_dropped": F.col("__tw_cut.n_dropped")})
+        .withColumns({name: F.col(f"__tw_cut.{name}") for name in names})
         .drop("__tw_id", "__tw_gone", "__tw_cut")
     )
