@@ -62,23 +62,25 @@ def _sentences(text: Column) -> Column:
     return F.transform(F.filter(F.split(normal, r"(?<=[.!?:]) "), lambda s: F.length(s) > 0), lambda s: F.xxhash64(s))
 
 
-def _passages() -> Column:
-    """(level, sentence hashes) of each run of quoted lines of one level."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+def _passages() -> tuple[Column, Column]:
+    """Where the runs of lines of one level start, and (level, text) of each quoted run, to be made of a column starts; a run is cut out of the lines by its ends, so the work is linear in them."""
+    n = F.size("lines")
+    level = lambda i: F.get("lines", i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
 
-    def add(runs: Column, x: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws(" ", last["text"], x["body"]).alias("text"))))
-        fresh = F.concat(runs, F.array(F.struct(x["level"].alias("level"), x["body"].alias("text"))))
-        return F.when((F.size(runs) > 0) & (last["level"] == x["level"]), longer).otherwise(fresh)
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), n)
+        body = F.transform(F.slice("lines", start + 1, end - start), lambda x: x["body"])
+        return F.when(level(start) > 0, F.struct(level(start).alias("level"), F.array_join(body, " ").alias("text")))
 
-    return F.filter(F.aggregate("lines", start, add), lambda r: r["level"] > 0)
+    return starts, F.filter(F.transform("starts", run), lambda r: r.isNotNull())
 
 
 def links(parsed: DataFrame, work: base.Scratch) -> DataFrame:
     """conv_id, turn, parent_turn, n_quoted and n_linked of each message that quotes."""
     keyed = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoting = keyed.filter(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode_outer(_passages()).alias("p"))
+    starts, runs = _passages()
+    quoting = keyed.filter(F.exists("lines", lambda x: x["level"] > 0)).withColumn("starts", starts).select("conv_id", "turn", F.explode_outer(runs).alias("p"))
     quotes = quoting.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode_outer(_sentences(F.col("p.text"))).alias("h")).filter("h IS NOT NULL").distinct()
     quotes = work.keep(quotes, "quotes")
     if quotes.isEmpty():
