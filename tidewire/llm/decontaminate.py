@@ -105,6 +105,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
     matched = made.join(F.broadcast(held.drop("size")) if rows <= BROADCAST_ROWS else held.drop("size"), "hash")
     matched = matched.select("doc_id", "item_id", "n_windows", "key", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("slots"))
     matched = base.Scratch(docs.sparkSession, "decontaminate").keep(matched, "matched")  # read twice below
+    for used in (items, held):
+        used.unpersist()
     occurrence = ["doc_id", "item_id", "diagonal"]
     # Literal tokens of a window are equal on both sides, so they never speak against a slot.
     slots = (
