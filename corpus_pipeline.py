@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines of 20 code points or more that three documents hold, but in the last of them."""
-    cut = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3)
+    cut = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, counts=False)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -56,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = base.Scratch(spark, "pipeline")
     docs = base.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with base.released():  # what the stage's operator wrote isn't read again
+            docs = work.keep(stage(spark, docs, sf_dir), name)
         if i:
             work.drop(STAGES[i - 1][0])
     return docs
