@@ -126,7 +126,7 @@ def alert_bucket(severity: Column, kind: Column) -> Column:
     air = F.lit(5)
     for step in range(5, -1, -1):
         air = F.when(severity <= SEVERITIES[step], step).otherwise(air)
-    return F.when(kind == "wildfire", fire).when(kind == "air", air).otherwise(F.floor(severity / 20).cast("int"))
+    return F.when(kind == "wildfire", fire).when(kind == "air_quality", air).otherwise(F.floor(severity / 20).cast("int"))
 
 
 def from_millis(ms: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import air, geo
 
 #: Days that each kind survives its provider's silence, fixed values.
-RETENTION_DAYS = {"wildfire": 7.0, "air": 0.25, "earthquake": 1.0, "severe_weather": 0.5, "storm": 7.0, "flood": 7.0, "volcano": 7.0, "drought": 7.0}
+RETENTION_DAYS = {"wildfire": 7.0, "air_quality": 0.25, "earthquake": 1.0, "severe_weather": 0.5, "storm": 7.0, "flood": 7.0, "volcano": 7.0, "drought": 7.0}
 MOST_PER_PROVIDER = 15_000
 #: Preference of air providers, kilometres of an average and of a single station; fixed values.
 AIR_RANK = {"airnow": 0, "openaq": 0, "purpleair": 1}
@@ -68,27 +68,46 @@ def worst_per_station(readings: DataFrame) -> DataFrame:
     return readings.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def _cells(km: float) -> float:
-    return km / 111.0
+#: Kilometres of a degree of latitude, a little less than the truth, so that no cell is missed; finest and coarsest grid.
+KM_PER_DEGREE, COARSEST, FINEST = 111.0, 2, 12
 
 
-def within(locations: DataFrame, points: DataFrame, km: Column, most_km: float) -> DataFrame:
-    """Pairs of locations and points at most km apart, with distance_km.
+def _cell(degrees: Column, level: Column) -> Column:
+    return F.floor(degrees * F.pow(F.lit(2.0), level) / 360.0).cast("int")
 
-    Both sides fall into bands of latitude as wide as the largest distance, so it is an equi-join on bands;
-    longitude is left to the exact distance, as it closes at the poles and at 180 degrees.
+
+def within(locations: DataFrame, points: DataFrame, km: Column) -> DataFrame:
+    """Pairs of locations and points at most km apart, with distance_km. Rows without a place or a distance have no pairs.
+
+    A grid of level k has cells of 360 / 2^k degrees. Each location takes the finest grid whose cells are as
+    high as its own distance, so its circle covers three rows of cells and as many columns as it spans there, around the
+    date line and the poles. Points are dealt out to the few levels in use, and both sides meet by an equi-join on cells.
     """
-    step = max(_cells(most_km), 0.1)
-    band = lambda c: F.floor(c / step)
-    a = locations.withColumn("band", F.explode(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)])))
-    b = points.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"}).withColumn("band", band(F.col("p_lat")))
+    a = locations.withColumn("__km", km.cast("double")).filter("__km >= 0 AND lat IS NOT NULL AND lon IS NOT NULL")
+    degrees = F.col("__km") / KM_PER_DEGREE
+    level = F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(F.log2(360.0 / F.greatest(degrees, F.lit(1e-3)))))).cast("int")
+    a = a.withColumn("__level", level)
+    # A circle's half-width in longitude; all the way round where it holds a pole.
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(degrees)) / F.cos(F.radians("lat")))))
+    wide = F.when((F.abs("lat") + degrees >= 90) | (degrees >= 90), 180.0).otherwise(reach)
+    columns = F.pow(F.lit(2.0), F.col("__level")).cast("int")
+    west, east = _cell(F.col("lon") + 180 - wide, F.col("__level")), _cell(F.col("lon") + 180 + wide, F.col("__level"))
+    cx = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + columns - 1)), lambda x: F.pmod(x, columns)))
+    cy = F.sequence(_cell(F.col("lat") - degrees, F.col("__level")), _cell(F.col("lat") + degrees, F.col("__level")))
+    levels = sorted(r[0] for r in a.select("__level").distinct().collect())  # eleven at most
+    a = a.withColumn("__cx", F.explode(cx)).withColumn("__cy", F.explode(cy))
+    b = points.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"}).filter("p_lat IS NOT NULL AND p_lon IS NOT NULL")
+    b = b.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    side = F.pow(F.lit(2.0), F.col("__level")).cast("int")
+    b = b.withColumns({"__cx": F.pmod(_cell(F.col("p_lon") + 180, F.col("__level")), side), "__cy": _cell(F.col("p_lat"), F.col("__level"))})
     d = geo.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    return a.join(b, "band").withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("band")
+    near = a.join(b, ["__level", "__cx", "__cy"]).withColumn("distance_km", d).filter(F.col("distance_km") <= F.col("__km"))
+    return near.drop("__km", "__level", "__cx", "__cy")
 
 
-def fire_ring(locations: DataFrame, fires: DataFrame, hits: DataFrame | None = None, most_km: float = 5000.0) -> DataFrame:
+def fire_ring(locations: DataFrame, fires: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Fires inside a location's ring that speak: no hit yet, or their alert bucket is above that of the hit."""
-    found = within(locations, fires.filter("kind = 'wildfire'"), F.col("fire_km"), most_km)
+    found = within(locations, fires.filter("kind = 'wildfire'"), F.col("fire_km"))
     bucket = air.alert_bucket(F.col("severity"), F.lit("wildfire"))
     found = found.select("location_id", "hazard_id", F.round("distance_km", 3).alias("distance_km"), "severity", bucket.alias("bucket"))
     if hits is None:
@@ -99,7 +118,7 @@ def fire_ring(locations: DataFrame, fires: DataFrame, hits: DataFrame | None = N
 
 def air_readings(locations: DataFrame, stations: DataFrame, near_km: float = NEAR_KM, far_km: float = FAR_KM) -> DataFrame:
     """The reading of each location: the average of the best provider's stations nearby, else the nearest station, else no row."""
-    pairs = within(locations.select("location_id", "lat", "lon"), stations, F.lit(far_km), far_km)
+    pairs = within(locations.select("location_id", "lat", "lon"), stations, F.lit(far_km))
     rank = F.lit(9)
     for name, n in AIR_RANK.items():
         rank = F.when(F.col("provider") == name, n).otherwise(rank)

@@ -284,11 +284,23 @@ def to_column(tree, fields: dict[str, Column], portable: bool = False) -> Column
 
 
 def query_column(query: str, fields: dict[str, Column], portable: bool = False) -> Column:
-    """As to_column; a query that can't be read matches nothing."""
+    """As to_column; a query that can't be read matches nothing. Texts without the words that every match holds are told apart first."""
     try:
-        return to_column(parse(query), fields, portable)
+        found = to_column(parse(query), fields, portable)
     except QueryError:
         return F.lit(False)
+    needed = prefilter_terms(query)
+    if not needed:
+        return found
+    can = F.lit(False)
+    for words in needed:
+        can = can | terms.holds(fields["all"], words)
+    return can & found
+
+
+def plain(text: Column) -> dict[str, Column]:
+    """The fields of a plain text: it is all and text, the other fields are empty."""
+    return {k: text if k in ("all", "text") else F.lit("") for k in ("all", "headline", "text", "lede", "source", "site")}
 
 
 def matches(tree, fields: dict[str, str]) -> bool:

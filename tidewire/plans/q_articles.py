@@ -196,13 +196,13 @@ c AS (SELECT id, list_sort(list_filter([CASE WHEN {_POINTS['politics']} >= 2 THE
   CASE WHEN {_POINTS['sports']} >= 1 THEN 'sports' END], lambda x: x IS NOT NULL)) AS l FROM articles)
 SELECT id, CASE WHEN len(l) = 0 THEN 'world' ELSE array_to_string(l, ',') END AS categories FROM c""",
     "lang_detect": f"""{A.with_sql('articles')},
-w AS (SELECT id, regexp_extract_all(lower(trim(substr(content, 1, 2000))), '[a-zà-ÿ]+') AS ws FROM articles),
+w AS (SELECT id, regexp_extract_all(lower(concat_ws(chr(10), title, summary, content)), '[a-zà-ÿ]+') AS ws FROM articles),
 n AS (SELECT id, len(ws) AS total, {", ".join(f"len(list_filter(ws, lambda w: w IN ({v}))) AS {k}_" for k, v in _WORDS.items())} FROM w),
 r AS (SELECT *, list_sort([en_, es_, fr_, de_], 'DESC') AS s FROM n)
 SELECT id, CASE WHEN total >= 4 AND s[1] >= 3 AND s[1] > s[2] THEN CASE s[1] WHEN en_ THEN 'en' WHEN es_ THEN 'es' WHEN fr_ THEN 'fr' ELSE 'de' END ELSE 'en' END AS detected FROM r""",
     "cluster_tokens": f"{A.with_sql('articles')}, {_TOKENS} SELECT id, array_to_string(tokens, ' ') AS tokens FROM toks",
     "pair_similarity": f"""{A.with_sql('articles')}, {_TOKENS},
-x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM toks WHERE language <> 'en'),
+x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM toks),
 p AS (SELECT a.id, b.id AS other, a.n, b.n AS m, count(*)::DOUBLE AS shared FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY ALL)
 SELECT id, other, shared::BIGINT AS shared, round({_SIM}, 6) AS similarity FROM p WHERE shared >= 2 AND {_SIM} >= 0.5""",
     "corroboration": f"""{A.with_sql('articles')}, {_TOKENS},

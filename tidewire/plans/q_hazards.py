@@ -71,7 +71,7 @@ def severities(spark, sf_dir):
         air.quake_severity((k % 90) / 10.0, F.element_at(F.array(*map(F.lit, ("", "green", "RED", "blue", "yellow"))), (k % 5 + 1).cast("int"))).alias("quake"),
         air.category((k % 400).cast("double")).alias("category"), air.label((k % 400).cast("double")).alias("label"), air.severity((k % 400).cast("double")).alias("air"),
         F.round(air.corrected_pm25((k % 300).cast("double"), (k % 120).cast("double")), 6).alias("pm25"),
-        air.alert_bucket((k % 101).cast("int"), F.element_at(F.array(*map(F.lit, ("wildfire", "air", "flood"))), (k % 3 + 1).cast("int"))).alias("bucket"),
+        air.alert_bucket((k % 101).cast("int"), F.element_at(F.array(*map(F.lit, ("wildfire", "air_quality", "flood"))), (k % 3 + 1).cast("int"))).alias("bucket"),
     )
 
 
@@ -124,7 +124,7 @@ _INSIDE = f"({_ring(POLYGON['coordinates'][0])} AND NOT {_ring(POLYGON['coordina
 _POINTS = [p for r in POLYGON["coordinates"] for p in r]
 _BUCKET = lambda s: f"CASE WHEN {s} >= 80 THEN 4 WHEN {s} >= 60 THEN 3 WHEN {s} >= 40 THEN 2 WHEN {s} >= 20 THEN 1 ELSE 0 END"
 _AIR = lambda s: "CASE " + " ".join(f"WHEN {s} <= {v} THEN {i}" for i, v in enumerate(air.SEVERITIES)) + " ELSE 5 END"
-_ANY = lambda s, k: f"CASE WHEN {k} = 'wildfire' THEN {_BUCKET(s)} WHEN {k} = 'air' THEN {_AIR(s)} ELSE floor({s} / 20)::INT END"
+_ANY = lambda s, k: f"CASE WHEN {k} = 'wildfire' THEN {_BUCKET(s)} WHEN {k} = 'air_quality' THEN {_AIR(s)} ELSE floor({s} / 20)::INT END"
 _RING = f"ring AS (SELECT l.location_id, h.hazard_id, {_km('l.lat', 'l.lon', 'h.lat', 'h.lon')} AS d, severity, {_BUCKET('severity')} AS bucket FROM locations l JOIN hazards h ON h.kind = 'wildfire' AND {_km('l.lat', 'l.lon', 'h.lat', 'h.lon')} <= l.fire_km)"
 _CASE = lambda v, bands, other: "CASE " + " ".join(f"WHEN {v} >= {a} THEN {b!r}" for a, b in bands) + f" ELSE {other!r} END"
 
@@ -172,7 +172,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY floor(value) DESC,
 SELECT event_id, parameter, {_aqi()} AS aqi FROM e""",
     "severities": f"""WITH e AS (SELECT event_id, (event_id * 13 % 120000)::DOUBLE AS acres, (event_id % 11 * 10)::DOUBLE AS c, (event_id % 90)::DOUBLE / 10.0::DOUBLE AS mag,
   ['', 'green', 'red', 'blue', 'yellow'][event_id % 5 + 1] AS col, (event_id % 400)::DOUBLE AS a, (event_id % 300)::DOUBLE AS pa, least(100.0, (event_id % 120))::DOUBLE AS rh,
-  (event_id % 101)::INT AS s, ['wildfire', 'air', 'flood'][event_id % 3 + 1] AS k FROM events),
+  (event_id % 101)::INT AS s, ['wildfire', 'air_quality', 'flood'][event_id % 3 + 1] AS k FROM events),
 f AS (SELECT *, 0.0862::DOUBLE * rh AS damp, pa / 20.0::DOUBLE - 1.5::DOUBLE AS lo, pa / 50.0::DOUBLE - 4.2::DOUBLE AS hi FROM e)
 SELECT event_id, greatest(5, round_even({_CASE('acres', air.ACRES, 5)} * (1.0::DOUBLE - 0.6::DOUBLE * (c / 100.0::DOUBLE)), 0)::INT) AS fire,
   CASE col WHEN 'red' THEN 95 WHEN 'orange' THEN 80 WHEN 'yellow' THEN 55 WHEN 'green' THEN 30 ELSE {_CASE('mag', air.MAGNITUDES, 20)} END AS quake,
@@ -184,7 +184,7 @@ SELECT event_id, greatest(5, round_even({_CASE('acres', air.ACRES, 5)} * (1.0::D
     ELSE 0.69::DOUBLE * pa + 8.84e-4::DOUBLE * pa * pa + 2.97::DOUBLE END), 6) AS pm25, {_ANY('s', 'k')} AS bucket FROM f""",
     "provider_cap": f"{A.with_sql('hazards')} SELECT provider, hazard_id FROM hazards QUALIFY row_number() OVER (PARTITION BY provider ORDER BY severity DESC, last_seen_at DESC, hazard_id) <= 50",
     "hazard_prune": f"""{A.with_sql('hazards')} SELECT hazard_id, kind FROM hazards WHERE provider NOT IN ('wfigs', 'usgs', 'gdacs')
-  OR last_seen_at >= TIMESTAMP '{A.NOW}' - CASE kind WHEN 'air' THEN INTERVAL 6 HOUR WHEN 'earthquake' THEN INTERVAL 24 HOUR WHEN 'severe_weather' THEN INTERVAL 12 HOUR ELSE INTERVAL 168 HOUR END""",
+  OR last_seen_at >= TIMESTAMP '{A.NOW}' - CASE kind WHEN 'air_quality' THEN INTERVAL 6 HOUR WHEN 'earthquake' THEN INTERVAL 24 HOUR WHEN 'severe_weather' THEN INTERVAL 12 HOUR ELSE INTERVAL 168 HOUR END""",
     "watch_boxes": f"""{A.with_sql('stations')}
 SELECT station_id AS location_id, floor(lat / 30.0)::BIGINT AS cy, floor(lon / 30.0)::BIGINT AS cx FROM stations QUALIFY row_number() OVER (PARTITION BY floor(lat / 30.0), floor(lon / 30.0) ORDER BY station_id) = 1 ORDER BY cy, cx LIMIT 40""",
 }

@@ -182,7 +182,7 @@ SELECT url, min(arrival) AS arrival FROM p WHERE url NOT IN (SELECT url FROM p W
     "domain_rating": f"""WITH d AS (SELECT page_id AS id, {_DOMAIN} AS domain FROM pages),
 r AS (SELECT unnest(['example.com', 'example.net', 'm.ththth.example.net', 'example.org']) AS rated, unnest([2, 4, 1, 3]) AS rank)
 SELECT d.id, any_value(domain) AS domain, arg_max(rank, length(rated)) AS rank FROM d LEFT JOIN r ON domain = rated OR ends_with(domain, '.' || rated) GROUP BY d.id""",
-    "growth": """WITH s AS (SELECT ts AS at_, event_id * 1000 + 5000000 AS bytes, event_id + 10 AS articles FROM events WHERE event_id IN ((SELECT min(event_id) FROM events), (SELECT max(event_id) FROM events))),
+    "growth": """WITH s AS (SELECT ts AS at_, event_id * 1000 + 5000000 AS bytes, event_id + 10 AS articles FROM events),
 g AS (SELECT arg_min(bytes, at_) AS b0, arg_max(bytes, at_) AS b1, arg_min(articles, at_) AS a0, arg_max(articles, at_) AS a1, (epoch_us(max(at_)) - epoch_us(min(at_))) / 3600000000.0::DOUBLE AS h FROM s)
 SELECT round((b1 - b0) / h * 24, 4) AS bytes_day, round((a1 - a0) / h * 24, 4) AS articles_day, round(b1 / a1, 4) AS bytes_article,
   round(CASE WHEN (b1 - b0) / h * 24 > 0 THEN (1e12::DOUBLE - b1) / ((b1 - b0) / h * 24) END, 4) AS days_left FROM g WHERE h >= 6""",
@@ -202,7 +202,7 @@ e AS (SELECT doc_id, (row_number() OVER (ORDER BY published_at, doc_id) - 1) //
 SELECT bucket, count(*) AS n, min(doc_id) AS first FROM e GROUP BY bucket""",
     "citations_by_host": f"SELECT {_HOST} AS host, count(*) AS cited FROM pages GROUP BY 1",
     "retention_keep": f"""{A.with_sql('articles')}
-SELECT id FROM articles WHERE id NOT IN (SELECT id FROM articles WHERE published_at < {_NOW} - INTERVAL 20 DAY ORDER BY published_at, id LIMIT 100)""",
+SELECT id FROM articles WHERE id NOT IN (SELECT id FROM articles WHERE published_at < {_NOW} - INTERVAL 20 DAY)""",
     "due_sources": f"""{A.with_sql('sources')},
 d AS (SELECT *, CASE WHEN source_id % 6 = 0 THEN 180 ELSE 3600 * pow(2, least(source_id % 6, 4))::INT END AS seconds, CASE WHEN source_id % 5 <> 0 THEN (source_id * 97 % 2000) * 60 END AS age FROM sources)
 SELECT source_id, seconds::INT AS seconds FROM d WHERE enabled AND (age IS NULL OR age >= seconds)""",

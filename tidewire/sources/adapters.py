@@ -89,7 +89,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored hazards: one for each customer, placed by its key."""
     k = F.col("c_custkey")
-    kinds = ("wildfire", "air", "earthquake", "severe_weather", "storm", "flood")
+    kinds = ("wildfire", "air_quality", "earthquake", "severe_weather", "storm", "flood")
     return table(spark, sf_dir, "customer").select(
         k.alias("hazard_id"),
         F.element_at(F.array(*map(F.lit, kinds)), (k % 6 + 1).cast("int")).alias("kind"),
@@ -112,16 +112,18 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "articles": """articles AS (
-  SELECT doc_id AS id, substr(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END, 1, 120) AS title,
-    CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS content,
-    regexp_extract(source, '([0-9]+)', 1)::INT AS source_id, lang AS language,
-    CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' WHEN 'de' THEN 'DE' WHEN 'es' THEN 'ES' ELSE '' END AS country,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 37) % 43200) AS published_at,
-    (doc_id * 13 % 96 + 5)::INT AS importance, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 97 END AS event_id,
-    substr(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END, 1, 400) AS summary,
-    'https://www.site' || regexp_extract(source, '([0-9]+)', 1) || '.example.com/a/' || doc_id AS url
-  FROM documents)""",
+    "articles": """lines AS (
+  SELECT *, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS line FROM documents),
+articles AS (
+  SELECT *, substr(content, 1, 400) AS summary FROM (
+    SELECT doc_id AS id, substr(line, 1, 120) AS title,
+      CASE WHEN length(line) > 120 THEN text WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS content,
+      regexp_extract(source, '([0-9]+)', 1)::INT AS source_id, lang AS language,
+      CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' WHEN 'de' THEN 'DE' WHEN 'es' THEN 'ES' ELSE '' END AS country,
+      TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 37) % 43200) AS published_at,
+      (doc_id * 13 % 96 + 5)::INT AS importance, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 97 END AS event_id,
+      'https://www.site' || regexp_extract(source, '([0-9]+)', 1) || '.example.com/a/' || doc_id AS url
+    FROM lines))""",
     "sources": """sources AS (
   SELECT source_id, 'outlet ' || source_id AS name, ['international', 'national', 'local'][source_id % 3 + 1] AS scope,
     (source_id % 3 + 1)::INT AS tier, CASE WHEN source_id % 10 = 9 THEN 'reddit' ELSE 'news' END AS platform,
@@ -135,7 +137,7 @@ SQL = {
   SELECT s_suppkey AS station_id, (s_suppkey * 37 % 1800) / 10 - 90 AS lat, (s_suppkey * 53 % 3600) / 10 - 180 AS lon,
     ['airnow', 'openaq', 'purpleair'][s_suppkey % 3 + 1] AS provider, (s_suppkey * 29 % 320)::INT AS aqi FROM supplier)""",
     "hazards": """hazards AS (
-  SELECT c_custkey AS hazard_id, ['wildfire', 'air', 'earthquake', 'severe_weather', 'storm', 'flood'][c_custkey % 6 + 1] AS kind,
+  SELECT c_custkey AS hazard_id, ['wildfire', 'air_quality', 'earthquake', 'severe_weather', 'storm', 'flood'][c_custkey % 6 + 1] AS kind,
     ['wfigs', 'airnow', 'usgs', 'nws', 'gdacs', 'gdacs'][c_custkey % 6 + 1] AS provider,
     (c_custkey * 37 % 1800) / 10 - 90 AS lat, (c_custkey * 53 % 3600) / 10 - 180 AS lon, (c_custkey * 17 % 101)::INT AS severity,
     TIMESTAMP '2024-01-31 00:00:00' - to_hours(c_custkey * 7 % 240) AS last_seen_at FROM customer)""",

@@ -66,7 +66,7 @@ def airnow(payloads: DataFrame) -> DataFrame:
     station = F.coalesce(F.nullif("s.FullAQSCode", F.lit("")), F.concat_ws(",", "s.Latitude", "s.Longitude"))
     s = worst_per_station(s.select(station.alias("station_id"), F.col("s.AQI").alias("aqi"), "arrival", "s"))
     raw = F.to_json(F.struct("aqi", F.col("s.Parameter").alias("pollutant"), F.col("s.AgencyName").alias("agency")))
-    return _rows(s, "air", "airnow", external_id=F.col("station_id"), name=F.coalesce("s.SiteName", F.lit("")), lat=F.col("s.Latitude"), lon=F.col("s.Longitude"), country=F.lit("US"), severity=air.severity(F.col("aqi")), started_at=F.try_to_timestamp("s.UTC").cast("timestamp_ntz"), raw=raw)
+    return _rows(s, "air_quality", "airnow", external_id=F.col("station_id"), name=F.coalesce("s.SiteName", F.lit("")), lat=F.col("s.Latitude"), lon=F.col("s.Longitude"), country=F.lit("US"), severity=air.severity(F.col("aqi")), started_at=F.try_to_timestamp("s.UTC").cast("timestamp_ntz"), raw=raw)
 
 
 def openaq(locations: DataFrame, latest: DataFrame, drop_us: bool = False) -> DataFrame:
@@ -83,7 +83,7 @@ def openaq(locations: DataFrame, latest: DataFrame, drop_us: bool = False) -> Da
     if drop_us:
         s = s.filter("code IS NULL OR code <> 'US'")
     s = worst_per_station(s)
-    return _rows(s, "air", "openaq", external_id=F.col("station_id"), name=F.coalesce("name", F.lit("")), lat=F.col("coordinates.latitude"), lon=F.col("coordinates.longitude"), country=F.coalesce("code", F.lit("")), severity=air.severity(F.col("aqi")), started_at=F.try_to_timestamp("at").cast("timestamp_ntz"), raw=F.to_json(F.struct("aqi", F.col("parameter").alias("pollutant"))))
+    return _rows(s, "air_quality", "openaq", external_id=F.col("station_id"), name=F.coalesce("name", F.lit("")), lat=F.col("coordinates.latitude"), lon=F.col("coordinates.longitude"), country=F.coalesce("code", F.lit("")), severity=air.severity(F.col("aqi")), started_at=F.try_to_timestamp("at").cast("timestamp_ntz"), raw=F.to_json(F.struct("aqi", F.col("parameter").alias("pollutant"))))
 
 
 def purpleair(payloads: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def purpleair(payloads: DataFrame) -> DataFrame:
     s = s.withColumn("fine", air.corrected_pm25(F.col("pm"), F.col("rh"))).withColumn("aqi", air.aqi(F.lit("pm25"), F.col("fine"), F.lit("ug/m3")))
     w = Window.partitionBy("box").orderBy(F.desc("aqi"), "id")
     s = s.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= MOST_SENSORS)
-    return _rows(s, "air", "purpleair", external_id=F.col("id"), name=F.coalesce("name", F.lit("")), lat=F.col("lat"), lon=F.col("lon"), severity=air.severity(F.col("aqi")), started_at=air.from_millis(F.col("seen") * 1000), raw=F.to_json(F.struct("aqi", F.round("fine", 2).alias("pm25"))))
+    return _rows(s, "air_quality", "purpleair", external_id=F.col("id"), name=F.coalesce("name", F.lit("")), lat=F.col("lat"), lon=F.col("lon"), severity=air.severity(F.col("aqi")), started_at=air.from_millis(F.col("seen") * 1000), raw=F.to_json(F.struct("aqi", F.round("fine", 2).alias("pm25"))))
 
 
 def gdacs(payloads: DataFrame) -> DataFrame:
