@@ -6,17 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import any_of, keyword
+from .vocabulary import HINTS, TAGS
 
 #: The standard categories and those for which one hint is enough, fixed values.
 STANDARD = ("world", "politics", "business", "economy", "technology", "science", "health", "environment", "conflict", "disaster", "crime", "sports", "entertainment", "culture")
 EASY = ("disaster", "conflict", "sports")
 
 
-def classify(title: Column, text: Column, hints: dict[str, list[str]], source_categories: Column, tags: Column | None = None, synonyms: dict[str, str] | None = None, portable: bool = False) -> Column:
+def classify(title: Column, text: Column, hints: dict[str, list[str]] | None, source_categories: Column, tags: Column | None = None, synonyms: dict[str, str] | None = None, portable: bool = False) -> Column:
     """Sorted categories. A hint in the title counts 2, else in the text 1; 2 are needed, 1 for EASY ones.
 
-    hints gives the terms of each category: the vocabulary is a parameter.
+    hints gives the terms of each category and synonyms the category of each tag; None stands for the built-in ones.
     """
+    hints, synonyms = HINTS if hints is None else hints, TAGS if synonyms is None else synonyms
     found = [F.array_intersect(F.coalesce(source_categories, F.array().cast("array<string>")), F.array(*map(F.lit, STANDARD)))]
     if tags is not None and synonyms:
         names = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])

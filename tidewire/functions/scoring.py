@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import any_of, one_of
+from .vocabulary import BREAKING_INTL
 
 #: Points by scope and tier, fixed values.
 SCOPE_POINTS = {"international": 45, "national": 35, "local": 25}
@@ -30,14 +31,19 @@ BREAKING = {
     "rate cut": 5, "rate hike": 5, "inflation": 4, "recession": 7,
     "summit": 4, "treaty": 5, "crisis": 7, "protest": 5, "strike": 4,
 }
+#: English terms and those of other languages, whose weight counts where both have one.
+ALL_BREAKING = BREAKING | BREAKING_INTL
 #: Hours without decay, half-life, share that always stays, most hours that a live event lifts.
 GRACE_H, HALF_LIFE_H, FLOOR_SHARE, LIFT_H = 6.0, 48.0, 0.4, 336
 
 
 def breaking_signal(text: Column, terms: dict[str, int] | None = None, portable: bool = False) -> Column:
-    """Sum of the weights of the terms in the text, 30 at most. Terms of one weight are counted by one pass each."""
+    """Sum of the weights of the terms in the text, 30 at most; terms: those of all languages.
+
+    A term's regular expression only meets texts that hold its words.
+    """
     total = F.lit(0)
-    for term, weight in (terms or BREAKING).items():
+    for term, weight in (ALL_BREAKING if terms is None else terms).items():
         total = total + F.when(one_of(text, term, portable), weight).otherwise(0)
     return F.least(F.lit(MOST_BREAKING), total)
 
@@ -61,13 +67,13 @@ def decay_reference(published: Column, first_seen: Column, updated: Column) -> C
 
 
 def decayed(base: Column, age_hours: Column) -> Column:
-    """base aged along a half-life curve down to its floor; halves round to even."""
-    base = F.greatest(F.lit(5), F.least(F.lit(100), base.cast("int")))
-    floor = F.greatest(F.lit(5), F.least(base, F.bround(base * F.lit(FLOOR_SHARE)).cast("int")))
-    moving = F.coalesce(age_hours, F.lit(0.0)) - GRACE_H
-    kept = F.pow(F.lit(0.5), moving / HALF_LIFE_H)
-    aged = F.greatest(floor, F.least(base, F.bround(floor + (base - floor) * kept).cast("int")))
-    return F.when((moving <= 0) | (base <= floor), base).otherwise(aged)
+    """What is left of a score: whole in the hours of grace, then halving towards FLOOR_SHARE of it; halves round to even, 5 at least."""
+    start = F.greatest(F.lit(5), F.least(F.lit(100), base.cast("int")))
+    rest = F.greatest(F.lit(5), F.bround(start * FLOOR_SHARE).cast("int"))
+    late = F.greatest(F.lit(0.0), F.coalesce(age_hours, F.lit(0.0)) - GRACE_H)
+    half_lives = late / HALF_LIFE_H
+    score = F.bround(rest + (start - rest) * F.pow(F.lit(0.5), half_lives)).cast("int")
+    return F.when(rest < start, F.greatest(rest, F.least(start, score))).otherwise(start)
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

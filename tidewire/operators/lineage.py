@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder of the session; one of our own only where none is set."""
+    """df as written to the checkpoint folder of the session; one of our own only where none is set and Spark runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidewire-"))
     return df.checkpoint()

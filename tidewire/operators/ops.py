@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
+from ..functions.similarity import similarity
 from ..plans import bql
 from ..plans.criteria import Criteria, domain_of
+from .lineage import cut_lineage
+from .ranks import placed, running
 
 # Dashboards
 
@@ -69,6 +72,22 @@ def doomed(articles: DataFrame, now: Column, days: int = 30, most: int | None =
     return (past if most is None else past.orderBy("published_at", "id").limit(most)).select("id")
 
 
+def prune_pass(articles: DataFrame, now: Column, days: int = 30, most: int = 5000) -> tuple[DataFrame, bool]:
+    """The articles that one pass removes and whether more wait for the next."""
+    gone = cut_lineage(doomed(articles, now, days, most))
+    return gone, gone.count() == most
+
+
+def over_budget(articles: DataFrame, budget: float, now: Column, least_days: int = 2, most: int | None = None) -> DataFrame:
+    """The oldest articles (id, published_at, bytes) to remove until the rest fits a budget of bytes, none of the last days; most: at most so many in a pass."""
+    total = articles.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
+    old = articles.filter(F.col("published_at") < now - F.make_dt_interval(days=F.lit(least_days)))
+    summed = running(old, "bytes", F.date_trunc("hour", "published_at"), "published_at", "id")
+    # One row on the right. An article goes if those before it don't free enough.
+    gone = summed.join(F.broadcast(total), F.lit(True)).filter(F.col("upto") - F.col("bytes") < F.col("total") - F.lit(budget))
+    return (gone if most is None else gone.orderBy("published_at", "id").limit(most)).select("id")
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """rows whose key isn't in gone.id: the cascade of a deletion is one call for each table."""
     return rows.join(gone.select(F.col("id").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
@@ -119,6 +138,79 @@ def feed_kind(entries: DataFrame, now: Column, alike: Column) -> DataFrame:
     return s.select("source_id", F.round("future_share", 6).alias("future_share"), F.round("template", 6).alias("template"), (points >= REJECT_AT).alias("rejected"))
 
 
+#: Least linked entries and texts, shares of paths and of phrases; fixed values.
+LEAST_LINKED, LEAST_TEXTS, PATH_SHARE, WORD_SHARE = 4, 4, 0.6, 0.5
+#: Path segments of pages that are no articles; fixed values.
+PATHS = {
+    "events": "event events ticket tickets ticketing veranstaltung veranstaltungen evento eventos evenement evenements agenda whats-on box-office boxoffice showtimes lineup sesion sesiones registration register-event rsvp activity activities workshop workshops webinar webinars booking bookings reservation reservations tour-dates",
+    "commerce": "product products shop store collections collection cart checkout basket catalog catalogue produkt produkte producto productos boutique tienda loja pricing buy order orders deal deals coupon coupons listing listings classifieds for-sale",
+    "jobs": "job jobs career careers vacancy vacancies hiring recruitment stellenangebote empleo empleos vagas opportunity opportunities position positions",
+}
+#: Phrases of pages that sell something; fixed values.
+PHRASES = {
+    "events": "buy tickets|get tickets|tickets on sale|on sale now|sold out|doors open|early bird|rsvp|box office|general admission|vip package|book now|reserve your|limited seats|line-up|eintritt|vorverkauf|entradas|boletos|ingressos|billets|售票|早鳥|門票|チケット|예매",
+    "commerce": "add to cart|in stock|out of stock|free shipping|shop now|order now|best seller|discount code|use code|% off|new arrival|pre-order|add to basket|en venta|comprar|kaufen|acheter",
+    "jobs": "apply now|we are hiring|we're hiring|now hiring|full-time|part-time|salary range|job opening|job description|years of experience|equal opportunity employer|remote position|bewerben|vacante|contratando",
+}
+
+
+def feed_verdict(entries: DataFrame, now: Column) -> DataFrame:
+    """What kind of feed each source is, by all four signals: source_id, the shares, score, kind and rejected.
+
+    entries: source_id, arrival, published_at, link, title, summary. Entries dated far ahead count 2; links to pages that are no articles,
+    phrases that sell and titles made from a template 1 each; REJECT_AT rejects. A link is one of jobs before
+    events before commerce, a text one of events before commerce before jobs; of equal shares the first of events, commerce, jobs wins.
+    """
+    link = F.lower(F.coalesce("link", F.lit("")))
+    segments = F.split(F.coalesce(F.try_parse_url(link, F.lit("PATH")), F.lit("")), "/")
+    path = F.lit(None).cast("string")
+    for kind in ("commerce", "events", "jobs"):
+        path = F.when(F.arrays_overlap(segments, F.array(*map(F.lit, PATHS[kind].split()))), kind).otherwise(path)
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    word = F.lit(None).cast("string")
+    for kind in ("jobs", "commerce", "events"):
+        hit = F.lit(False)
+        for phrase in PHRASES[kind].split("|"):
+            hit = hit | F.contains(text, F.lit(phrase))
+        word = F.when(hit, kind).otherwise(word)
+    titles = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}_]+")), lambda w: F.length(w) > 2)
+    ahead = F.col("published_at") > now + F.make_dt_interval(hours=F.lit(FUTURE_HOURS))
+    rows = entries.select("source_id", "arrival", ahead.alias("ahead"), F.col("published_at").isNotNull().alias("dated"), link.startswith("http").alias("linked"), path.alias("path"), (F.btrim(text) != "").alias("told"), word.alias("word"), titles.alias("words"))
+    linked, told = F.col("linked"), F.col("told")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    s = rows.groupBy("source_id").agg(
+        count(F.col("dated")).alias("dated"), count(F.col("ahead")).alias("ahead"), count(linked).alias("links"), count(told).alias("texts"),
+        *[count(linked & (F.col("path") == k)).alias(f"path_{k}") for k in PATHS], *[count(told & (F.col("word") == k)).alias(f"word_{k}") for k in PATHS],
+    )
+    w = Window.partitionBy("source_id").orderBy("arrival")
+    pairs = rows.filter(F.size("words") > 0).withColumn("before", F.lag("words").over(w))
+    alike = F.when(F.col("before").isNotNull(), similarity(F.col("words"), F.col("before")))
+    template = pairs.groupBy("source_id").agg(F.count("*").alias("titles"), F.percentile(alike, F.lit(0.5)).alias("median"))
+
+    def share(kind: str, of: str, least: int) -> tuple[Column, Column]:
+        n = {k: F.col(f"{kind}_{k}") for k in PATHS}
+        most = F.greatest(*n.values())
+        name = F.when(n["events"] == most, "events").when(n["commerce"] == most, "commerce").otherwise("jobs")
+        enough = (F.col(of) >= least) & (most > 0)
+        return F.when(enough, (n["events"] + n["commerce"] + n["jobs"]) / F.col(of)).otherwise(0.0), F.when(enough, name)
+
+    (paths, path_kind), (words, word_kind) = share("path", "links", LEAST_LINKED), share("word", "texts", LEAST_TEXTS)
+    s = s.join(template, "source_id", "left").select(
+        "source_id", F.when(F.col("dated") >= LEAST_DATED, F.col("ahead") / F.col("dated")).otherwise(0.0).alias("future_share"), paths.alias("path_share"), path_kind.alias("path_kind"),
+        words.alias("word_share"), word_kind.alias("word_kind"), F.when(F.col("titles") >= LEAST_TITLES, F.coalesce("median", F.lit(0.0))).otherwise(0.0).alias("template"),
+    )
+    future, pathed, worded = F.col("future_share") >= FUTURE_SHARE, F.col("path_share") >= PATH_SHARE, F.col("word_share") >= WORD_SHARE
+    score = F.when(future, 2).otherwise(0) + pathed.cast("int") + worded.cast("int") + (F.col("template") >= TEMPLATE_SIMILARITY).cast("int")
+    kind = F.when(pathed, F.col("path_kind")).when(future, "events").when(worded, F.col("word_kind")).otherwise("news")
+    rejected = score >= REJECT_AT
+    return s.select("source_id", *[F.round(c, 6).alias(c) for c in ("future_share", "path_share", "word_share", "template")], score.alias("score"), F.when(rejected, kind).otherwise("news").alias("kind"), rejected.alias("rejected"))
+
+
+def switched_off(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The sources that a verdict disables: rejected ones that were found automatically."""
+    return sources.filter("added_by = 'auto-discovered'").join(verdicts.filter("rejected").select("source_id"), "source_id", "left_semi")
+
+
 def domain_suffixes(domain: Column) -> Column:
     """(suffix, depth) of a domain: itself, then without its first label, down to two labels."""
     labels = F.split(domain, r"\.")
@@ -150,10 +242,28 @@ def coverage_matrix(entries: DataFrame, themes: list[str]) -> DataFrame:
     return flat.groupBy("theme", "period").agg(F.count("*").alias("n"))
 
 
+def coverage_grid(entries: DataFrame, themes: list[str], period: Column) -> DataFrame:
+    """theme, period, n for each theme and each period with entries, 0 where none has it, with the theme's total, the largest cell (1 at least) and the number of entries.
+
+    entries: at, themes. Themes and periods are the lists of a view, so their grid is small whatever the entries.
+    """
+    rows = entries.select(period.alias("period"), "themes")
+    periods = rows.groupBy("period").agg(F.count("*").alias("entries"))
+    cells = rows.select("period", F.explode("themes").alias("theme")).filter(F.col("theme").isin(*themes)).groupBy("theme", "period").agg(F.count("*").alias("n"))
+    grid = periods.select("period", F.explode(F.array(*map(F.lit, themes))).alias("theme")).join(cells, ["theme", "period"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    totals = cells.groupBy("theme").agg(F.sum("n").alias("total"))
+    whole = periods.agg(F.sum("entries").alias("entries")).join(cells.agg(F.greatest(F.lit(1), F.coalesce(F.max("n"), F.lit(1))).cast("long").alias("largest")), F.lit(True))
+    return grid.join(totals, "theme", "left").join(whole, F.lit(True)).select("theme", "period", "n", F.coalesce("total", F.lit(0)).cast("long").alias("total"), "largest", "entries")
+
+
+def pivoted(grid: DataFrame, periods: list[str]) -> DataFrame:
+    """A coverage grid with one column for each period, and the total."""
+    return grid.groupBy("theme", "total").pivot("period", periods).agg(F.first("n")).select("theme", *periods, "total")
+
+
 def biweeks(reports: DataFrame) -> DataFrame:
     """Reports paired two by two in order of their date."""
-    w = Window.orderBy("at", "id")
-    return reports.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 2))
+    return placed(reports, "at", "id").withColumn("bucket", F.floor((F.col("place") - 1) / 2)).drop("place")
 
 
 def citations(links: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_articles, q_hazards, q_ops, q_search
+from . import q_articles, q_catalog, q_hazards, q_ops, q_providers, q_search
 
-MODULES: tuple = (q_search, q_articles, q_hazards, q_ops)
+MODULES: tuple = (q_search, q_articles, q_hazards, q_ops, q_catalog, q_providers)
 
 
 def queries() -> dict:

@@ -212,6 +212,39 @@ def search(articles: DataFrame, sources: DataFrame, c: Criteria, now: datetime,
     return joined.filter(predicate(c, joined.columns, now)).orderBy(*order, F.desc("published_at"), F.desc("id")).limit(limit)
 
 
+#: Articles of a plain column and of a grouped one, most of a search, a feed, groups and an export; fixed values.
+PLAIN_LIMIT, GROUPED_LIMIT = 40, 200
+MOST = {"search": 200, "feed": 200, "groups": 100, "export": 2000}
+
+
+def bounded(kind: str, limit: int) -> int:
+    """A caller's limit within what its kind of view allows."""
+    return max(1, min(MOST[kind], limit))
+
+
+def home(articles: DataFrame, sources: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """The ranked articles of each column of the home view."""
+    return {
+        name: search(articles, sources, Criteria.from_json(raw), now, order, GROUPED_LIMIT if grouped else PLAIN_LIMIT)
+        for name, raw, order, grouped in HOME
+    }
+
+
+def warm(columns: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """The columns as written to tables in a shared folder: what a view reads until the next refresh writes them again."""
+    out = {}
+    for name, found in columns.items():
+        schema = found.schema
+        found.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out[name] = found.sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
+    return out
+
+
+def fresh(written: datetime, now: datetime, most_s: float = 120.0) -> bool:
+    """Whether a warm table may still answer."""
+    return 0 <= (now - written).total_seconds() <= most_s
+
+
 def coverage_queries(c: Criteria, most: int = 5) -> list[str]:
     """Tracker queries that would find what the criteria ask for: no brackets or AND, NOT as a minus."""
     out = []

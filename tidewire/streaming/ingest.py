@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.air import alert_bucket
 from ..functions.similarity import cluster_tokens
+from ..operators.coverage import corroboration
+from ..operators.hazards import within
 from ..operators.ops import entries_to_articles, is_http
+from ..runtime import ship
 
 ENTRY = "source_id int, title string, summary string, link string, guid string, published_at timestamp, arrival long"
 
@@ -37,61 +40,101 @@ def upsert(batch: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
     return batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
-def hazard_steps(polls: DataFrame) -> DataFrame:
-    """Each poll row of a hazard that is new or whose bucket rose above all told before, by keyed state.
+#: Seconds after which a silent hazard is forgotten.
+FORGET_S = 7 * 24 * 3600
+
+
+def steps(polls: DataFrame, keys: tuple[str, ...], kept: tuple[str, ...] = ("severity",)) -> DataFrame:
+    """Each row whose bucket rose above all that its keys have told, by keyed state over event time.
 
-    polls: provider, external_id, severity, bucket, seen (long). The state of a key is its highest bucket; it times
-    out after a week without polls.
+    polls: the keys, int columns kept, bucket, seen (epoch seconds, long). The state of a key is its highest bucket and
+    latest sight; a row seen more than a week after that starts anew. The watermark lies a week back, so
+    later polls than that are not read, and states that no poll can reach any more are dropped.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        told = state.get[0] if state.exists else -1
+        told, latest = state.get if state.exists else (-1, None)
         out = []
-        for frame in frames:
-            for row in frame.sort_values("seen").itertuples():
-                if row.bucket > told:
-                    told = int(row.bucket)
-                    out.append((*key, int(row.severity), told, int(row.seen)))
-        state.update((told,))
-        state.setTimeoutDuration(7 * 24 * 3600 * 1000)
-        yield pd.DataFrame(out, columns=["provider", "external_id", "severity", "bucket", "seen"])
+        for row in pd.concat(list(frames)).sort_values(["seen", "bucket"]).itertuples():
+            if latest is not None and row.seen - latest > FORGET_S:
+                told = -1
+            latest = int(row.seen) if latest is None else max(latest, int(row.seen))
+            if row.bucket > told:
+                told = int(row.bucket)
+                out.append((*key, *(int(getattr(row, c)) for c in kept), told, int(row.seen)))
+        state.update((told, latest))
+        state.setTimeoutTimestamp((latest + FORGET_S + 1) * 1000)
+        yield pd.DataFrame(out, columns=[*keys, *kept, "bucket", "seen"])
+
+    types = dict(polls.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} int" for c in kept), "bucket int", "seen long"])
+    timed = polls.select(*keys, *kept, "bucket", "seen", F.timestamp_seconds("seen").alias("at")).withWatermark("at", f"{FORGET_S} seconds")
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "told int, latest long", "append", "EventTimeTimeout")
+
+
+def hazard_steps(polls: DataFrame) -> DataFrame:
+    """Each poll row of a hazard that is new or whose bucket rose above all told before.
+
+    polls: provider, external_id, severity, bucket, seen (long).
+    """
+    return steps(polls, ("provider", "external_id"))
+
+
+def ring_steps(fires: DataFrame, locations: DataFrame) -> DataFrame:
+    """Fires inside a location's ring, once for each location, fire and bucket.
+
+    fires: a stream of hazard_id, kind, lat, lon, severity, seen; locations: a table of location_id, lat, lon, fire_km.
+    """
+    found = within(locations, fires.filter("kind = 'wildfire'"), F.col("fire_km"))
+    bucket = alert_bucket(F.col("severity"), F.lit("wildfire")).alias("bucket")
+    return steps(found.select("location_id", "hazard_id", "severity", bucket, "seen"), ("location_id", "hazard_id"))
+
+
+def corroborated(stream: DataFrame, store: str, write, checkpoint: str, hours: int = 12):
+    """Each micro-batch of articles (id, source_id, published_at, tokens) with its corroborating newsrooms, given to write(found, batch_id).
 
-    schema = "provider string, external_id string, severity int, bucket int, seen long"
-    return polls.groupBy("provider", "external_id").applyInPandasWithState(step, schema, "told int", "append", "ProcessingTimeTimeout")
+    The headlines are kept in the folder store, one part for each batch, so a batch looks in all earlier ones and itself; only those
+    of the last hours are read. A batch that is run again replaces its own part.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark, slim = rows.sparkSession, rows.select("id", "source_id", "published_at", "tokens")
+        slim.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        since = slim.agg(F.min("published_at")).first()[0]
+        if since is None:
+            return
+        held = spark.read.schema(slim.schema.add("batch", "long")).parquet(store)
+        held = held.filter((F.col("batch") <= batch_id) & (F.col("published_at") >= F.lit(since) - F.make_dt_interval(hours=F.lit(hours))))
+        write(corroboration(held.filter(F.col("batch") == batch_id).drop("batch"), hours=hours, earlier=held.drop("batch")), batch_id)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def ramped(full: int, since_start_s: float, first: int = 10, ramp_s: float = 300.0) -> int:
+    """How many sources a trigger takes: a few at the start, all after the ramp, in proportion between."""
+    share = min(1.0, max(0.0, since_start_s) / ramp_s)
+    return full if full <= first else round(first + (full - first) * share)
 
 
 def cluster_stream(stream: DataFrame, window_hours: int = 72) -> DataFrame:
     """id and event of each article by the exact greedy fold with keyed state; one key, as each step depends on all before.
 
-    Columns: id, at (seconds), tokens. Live events are kept in the state as JSON, those older than the window go.
+    Columns: id, at (seconds), tokens. The state is the fold's live events; it is as large as the window, whatever has run through.
     """
+    ship(stream.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        events, following = json.loads(state.get[0]) if state.exists else ([], 0)
+        from tidewire.operators.clusters import EventFold
+
+        window = window_hours * 3600
+        fold = EventFold.from_json(state.get[0], window) if state.exists else EventFold(window)
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for row in rows.itertuples():
-            tokens, best, best_sim = set(row.tokens.split()), None, 0.0
-            events = [e for e in events if e["at"] >= row.at - window_hours * 3600]
-            for e in events if len(tokens) >= 2 else ():
-                held = set(e["tokens"])
-                n = len(tokens & held)
-                sim = max(n / len(tokens | held), n / min(len(tokens), len(held))) if n >= 2 else 0.0
-                if sim > best_sim:
-                    best, best_sim = e, sim
-            if best is None or best_sim < 0.5:
-                best = {"id": following, "tokens": sorted(tokens), "at": int(row.at)}
-                following += 1
-                events.append(best)
-            else:
-                best["tokens"] = sorted(tokens | set(best["tokens"]))[:18]
-                best["at"] = max(best["at"], int(row.at))
-            out.append((int(row.id), best["id"]))
-        state.update((json.dumps([events, following]),))
-        yield pd.DataFrame(out, columns=["id", "event"])
+        placed = [fold.place(set(tokens.split()), int(at)) for tokens, at in zip(rows["tokens"], rows["at"])]
+        state.update((fold.to_json(),))
+        yield pd.DataFrame({"id": rows["id"].astype("int64"), "event": placed})
 
     keyed = stream.select("id", "at", F.array_join("tokens", " ").alias("tokens"), F.lit(0).alias("one"))
     return keyed.groupBy("one").applyInPandasWithState(step, "id long, event long", "live string", "append", "NoTimeout")
