@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import any_of, keyword
+from .terms import held, keyword, let, listed, read
 from .vocabulary import HINTS, TAGS
 
 #: The standard categories and those for which one hint is enough, fixed values.
@@ -23,11 +23,18 @@ def classify(title: Column, text: Column, hints: dict[str, list[str]] | None, so
     if tags is not None and synonyms:
         names = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
         found.append(F.filter(F.transform(tags, lambda t: F.element_at(names, F.lower(F.trim(t)))), lambda c: c.isNotNull()))
-    for name, words in hints.items():
-        points = F.lit(0)
-        for word in words:
-            points = points + F.when(any_of(title, [word], portable), 2).when(any_of(text, [word], portable), 1).otherwise(0)
-        found.append(F.when(points >= (1 if name in EASY else 2), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+    # A term may stand for several categories, so each category has its own list.
+    tables = {name: listed({w: name for w in words}, portable) for name, words in hints.items()}
+
+    def hinted(known: Column) -> Column:
+        each = []
+        for name, table in tables.items():
+            points = lambda a, t: a + F.when(held(known["title"], t), 2).when(held(known["text"], t), 1).otherwise(0)
+            each.append(F.when(F.aggregate(table, F.lit(0), points) >= (1 if name in EASY else 2), F.lit(name)))
+        return F.filter(F.array(*each), lambda c: c.isNotNull())
+
+    if hints:
+        found.append(let(F.struct(read(title).alias("title"), read(text).alias("text")), hinted))
     out = F.array_sort(F.array_distinct(F.concat(*found)))
     return F.when(F.size(out) == 0, F.array(F.lit("world"))).otherwise(out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import any_of, one_of
+from .terms import any_of, held, let, listed, read
 from .vocabulary import BREAKING_INTL
 
 #: Points by scope and tier, fixed values.
@@ -42,10 +42,13 @@ def breaking_signal(text: Column, terms: dict[str, int] | None = None, portable:
 
     A term's regular expression only meets texts that hold its words.
     """
-    total = F.lit(0)
-    for term, weight in (ALL_BREAKING if terms is None else terms).items():
-        total = total + F.when(one_of(text, term, portable), weight).otherwise(0)
-    return F.least(F.lit(MOST_BREAKING), total)
+    wanted = listed(ALL_BREAKING if terms is None else terms, portable)
+
+    def signal(known: Column) -> Column:
+        hits = F.filter(wanted, lambda t: held(known, t))
+        return F.least(F.lit(MOST_BREAKING), F.aggregate(hits, F.lit(0), lambda a, t: a + t["value"].cast("int")))
+
+    return F.when(text.isNull(), 0).otherwise(let(read(text), signal))
 
 
 def importance(scope: Column, tier: Column, breaking: Column, n_countries: Column, corroborating: Column) -> Column:

@@ -6,7 +6,9 @@ answers yes or no but must not be used to count.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,8 +43,34 @@ def flags(portable: bool) -> str:
     return PORTABLE_FLAGS if portable else FLAGS
 
 
-#: Letters outside ASCII that equal an ASCII letter when case is ignored.
-_FOLDED = "İıſ\u212a"
+#: Letters that equal an ASCII letter, or a Cyrillic one, when case is ignored, though lower case keeps them apart.
+_FOLDED, _FOLDED_CYRILLIC = "İıſ\u212a", "\u1c80-\u1c88"
+_SIMPLE = re.compile("[a-z0-9à-öø-ÿа-яё]+")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def read(text: Column) -> Column:
+    """What ``held`` needs to know of a text: itself, in lower case, and whether a letter of it folds oddly."""
+    return F.struct(text.alias("text"), F.lower(text).alias("low"), text.rlike(f"[{_FOLDED}{_FOLDED_CYRILLIC}]").alias("odd"))
+
+
+def listed(terms: dict[str, int | str], portable: bool = False) -> Column:
+    """A constant array of terms for ``held``: the words to look for, the pattern, and the value of each term."""
+    rows = []
+    for term, value in terms.items():
+        words = [w for w in term.lower().split() if _SIMPLE.fullmatch(w) or w.upper() == w]
+        rows.append({"words": words, "pattern": flags(portable) + keyword(term, portable), "value": str(value)})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<words:array<string>,pattern:string,value:string>>")
+
+
+def held(known: Column, term: Column) -> Column:
+    """Whether one of the ``listed`` terms occurs in a text as ``read``; only texts with its words meet the regular expression."""
+    can = F.forall(term["words"], lambda w: F.contains(known["low"], w))
+    return (can | known["odd"]) & F.regexp_like(known["text"], term["pattern"])
 
 
 def holds(text: Column, words: list[str]) -> Column:
