@@ -107,15 +107,17 @@ win AS (
   SELECT id, doc, place, n, [{", ".join(lead("c"))}] AS cs, [{", ".join(lead("v"))}] AS vs
   FROM typed WINDOW w AS (PARTITION BY doc, id ORDER BY place)),
 keyed AS (
-  SELECT id, doc, place, list_filter(vs, lambda x: x IS NOT NULL) AS vs,
+  SELECT id, doc, place, list_filter(vs, lambda x: x IS NOT NULL) AS vs, 'c' || replace(array_to_string(vs, ' '), chr(2), '') AS literal,
     CASE WHEN 2 * len(list_filter(cs, lambda x: x[1] = '<')) > least(n, {size}) THEN 'v' || array_to_string(vs, ' ') ELSE 'c' || array_to_string(cs, ' ') END AS key,
     len(list_filter(cs, lambda x: x[1] = '<')) > 0 AS slotted
   FROM win WHERE place + {size} <= n OR (n < {size} AND place = 0)),
-items AS (SELECT id AS item_id, key, min(place) AS item_at, arg_min(vs, place) AS item_vs, bool_or(slotted) AS slotted FROM keyed WHERE NOT doc GROUP BY ALL),
-totals AS (SELECT item_id, count(*) AS n_windows FROM items GROUP BY item_id),
+typed_items AS (SELECT id AS item_id, key, key AS hash, min(place) AS item_at, arg_min(vs, place) AS item_vs, bool_or(slotted) AS slotted FROM keyed WHERE NOT doc GROUP BY ALL),
+items AS (SELECT * FROM typed_items UNION ALL SELECT id, key, literal, min(place), NULL, false FROM keyed WHERE NOT doc AND slotted GROUP BY id, key, literal),
+totals AS (SELECT item_id, count(*) AS n_windows FROM typed_items GROUP BY item_id),
+asked AS (SELECT id, place, key AS hash, vs, slotted FROM keyed WHERE doc UNION ALL SELECT id, place, literal, NULL, false FROM keyed WHERE doc AND slotted),
 matched AS (
-  SELECT d.id AS doc_id, i.item_id, i.key, d.place - i.item_at AS diagonal, item_vs, d.vs, i.slotted
-  FROM keyed d JOIN items i ON d.key = i.key WHERE d.doc),
+  SELECT d.id AS doc_id, i.item_id, i.key, d.place - i.item_at AS diagonal, item_vs, d.vs, i.slotted AND d.slotted AS slotted
+  FROM asked d JOIN items i ON d.hash = i.hash),
 pairs AS (SELECT doc_id, item_id, diagonal, unnest(item_vs) AS a, unnest(vs) AS b FROM matched WHERE slotted),
 slots AS (
   SELECT doc_id, item_id, diagonal, bool_or(least <> most) AS torn, bool_or(least <> a OR most <> a) AS changed
@@ -130,6 +132,20 @@ HAVING 100 * count(DISTINCT m.key) >= {decontaminate.COVERED} * t.n_windows
 
 
 SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), LOWER), '[^\x20\x09-\x0D]+') AS t FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) BETWEEN 1 AND 2 THEN [array_to_string(t, ' ')]
+    ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, both_.v FROM reach r JOIN both_ ON r.other = both_.u),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+""".replace("LOWER", _LOWER),
     "op3_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -199,7 +215,7 @@ passages AS (
 sentences AS (
   SELECT DISTINCT conv_id, turn, level, h FROM (
     SELECT conv_id, turn, level, unnest(string_split(regexp_replace(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')), '([.!?:]) ', '\1' || chr(1), 'g'), chr(1))) AS h FROM passages)
-  WHERE length(h) >= 8),
+  WHERE length(h) > 0),
 found AS (
   SELECT q.conv_id, q.turn, q.level, q.h, max(o.turn) AS source FROM sentences q LEFT JOIN sentences o ON o.level = 0 AND o.conv_id = q.conv_id AND o.h = q.h AND o.turn < q.turn
   WHERE q.level > 0 GROUP BY ALL),
