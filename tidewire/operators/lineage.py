@@ -1,19 +1,49 @@
-"""Cutting the lineage of iterative operators in the shared checkpoint folder."""
+"""The shared folder of a session: cutting the lineage of iterative operators, and tables that are made once."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or _own_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder of the session; one of our own only where none is set and Spark runs on one machine."""
+    """df as written to the checkpoint folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidewire-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_MADE: dict[tuple, tuple] = {}
+
+
+def made_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written to the shared folder when it is first asked for in an application, and read from there.
+
+    Its columns are real ones, so filters and column pruning reach the scan.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE:
+        df, path = make(), f"{shared_folder(spark).rstrip('/')}/tidewire-made-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _MADE[key] = path, df.schema
+    path, schema = _MADE[key]
+    return spark.read.schema(schema).parquet(path)

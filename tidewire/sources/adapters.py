@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import made_once
+
 #: The moment that stands for "now" over the test tables.
 NOW = "2024-01-31 00:00:00"
 #: Country of each language of the test documents.
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article table, adapted once an application, as a news store would hold it."""
+    return made_once(spark, ("articles", sf_dir), lambda: adapted_articles(spark, sf_dir))
+
+
+def adapted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article for each document: title is its first line, body the rest; of a first line over 120 characters
     the title has the start, and the body is the whole text, so no word is lost or split."""
     d = table(spark, sf_dir, "documents")
@@ -49,6 +56,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of all articles."""
+    return made_once(spark, ("sources", sf_dir), lambda: adapted_sources(spark, sf_dir))
+
+
+def adapted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.regexp_extract("source", "([0-9]+)", 1).cast("int").alias("source_id")).distinct()
     n = F.col("source_id")
     return d.select(
@@ -64,6 +76,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored events of the articles, restated from their members."""
+    return made_once(spark, ("events", sf_dir), lambda: adapted_events(spark, sf_dir))
+
+
+def adapted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = articles(spark, sf_dir).filter("event_id IS NOT NULL")
     return a.groupBy("event_id").agg(
         F.count("*").alias("article_count"),
