@@ -14,14 +14,16 @@ Candidates of a band aren't all paired with each other. Equal word sequences are
 the start. Buckets of up to ``SMALL`` classes are paired in full; in a larger bucket every class is
 held against the most central one (that of the most and largest buckets), so n alike classes cost n - 1
 comparisons. Classes that stay outside the largest component of a bucket are then held against all
-classes of their group (what large buckets connect) in blocks of ``QUERIES`` by ``ROWS_AT_ONCE``: sparse
+classes of their group (what large buckets connect) in blocks of ``QUERIES`` by ``ROWS_AT_ONCE``: 0/1
 columns of full sets are multiplied, and of each such class one link to each other component comes out. No pairs are
-put out for that and no task gets a whole group.
+put out for that and no task gets a whole group. ``SMALL`` changes the way, not the result: any pair with a class outside
+the largest component of its bucket is compared.
 
 Nulls: a document with a null or blank text has no shingles and is linked with nothing; one with
 a null id is returned with a null component, kept, linked with nothing. Fewer words than a shingle
 make one shingle of them all. Repeated rows share their id, so their component; where one id has
-several texts, candidates are verified by the least of them. Empty tables give empty results.
+several texts, each row is placed by its own, and a link holds if any text of the one id is like any of the other.
+Empty tables give empty results.
 Extra columns are not read.
 """
 
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     pairs = work.keep(pairs, "pairs")
     named = buckets.select("id").distinct()
-    sets = work.keep(full_sets(docs.withColumnRenamed("doc_id", "id").join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), width), "sets")
+    sets = work.keep(full_sets(docs.withColumnRenamed("doc_id", "id").join(named, "id", "left_semi").distinct(), width), "sets")
     links = work.keep(verified(pairs, sets, percent), "links")
     work.drop("buckets", "pairs")
     labels = connected(links, work, "labels")
