@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]
 
-#: SQL can't express the classifier's trees; the stages are tested one by one against brute force.
+#: SQL can't express the classifier's trees; tests/llm/test_pipeline.py holds each stage against brute force and run() against its stages.
 ORACLE_SQL = None
 
 

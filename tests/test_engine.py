@@ -12,7 +12,7 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import categories, lang, scoring, terms
+from tidewire.functions import air, categories, lang, scoring, terms
 from tidewire.operators import catalog, clusters, coverage, hazards, ops, ranks
 from tidewire.operators.documents import topics
 from tidewire.plans import bql, criteria
@@ -272,6 +272,23 @@ def test_retries_and_expiry(spark):
     assert {r.hazard_id for r in hazards.pruned(h, ["p"], ntz(), "expires").collect()} == {2, 3, 4}
 
 
+def test_access_and_moments(spark):
+    day = lambda n: NOW + timedelta(days=n)
+    u = spark.createDataFrame([(1, True, None, None), (2, False, day(0.5), day(9)), (3, False, day(-1), day(2)), (4, False, day(-1), day(-2)), (5, False, None, None)], "user_id int, comped boolean, paid_until timestamp_ntz, trial_ends_at timestamp_ntz")
+    assert [tuple(r)[1:] for r in catalog.access(u, ntz()).orderBy("user_id").collect()] == [("comped", None, None), ("paid", day(0.5), 1), ("trial", day(2), 2), ("expired", day(-2), 0), ("expired", None, 0)]
+    assert {r.state for r in catalog.access(u, ntz(), charged=False).collect()} == {"open"}
+    t = spark.createDataFrame([("1700000000000",), ("2023-11-14T22:13:20Z",), ("2023-11-14T22:13:20",), ("soon",), ("0",), ("",), (None,)], "t string")
+    assert [r.m for r in t.select(air.moment(F.col("t")).alias("m")).collect()] == [datetime(2023, 11, 14, 22, 13, 20)] * 3 + [None] * 4
+
+
+def test_translations_are_searched(spark):
+    a = spark.createDataFrame([(1, "quake", "", "", NOW), (2, "flut", "", "", NOW)], "id int, title string, summary string, content string, published_at timestamp_ntz")
+    t = spark.createDataFrame([(2, "en", "flood", "in town")], "article_id int, lang string, title string, summary string")
+    full = ops.with_translations(a, t)
+    found = lambda on: [r.id for r in full.filter(criteria.predicate(criteria.Criteria(query="flood AND town", search_translations=on, passing_mentions=True), full.columns, NOW)).collect()]
+    assert found(True) == [2] and found(False) == []
+
+
 def test_switched_off_sources(spark):
     s = spark.createDataFrame([(1, "auto-discovered"), (2, "user"), (3, "auto-discovered")], "source_id int, added_by string")
     v = spark.createDataFrame([(1, True), (2, True), (3, False)], "source_id int, rejected boolean")

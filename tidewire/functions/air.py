@@ -132,3 +132,9 @@ def alert_bucket(severity: Column, kind: Column) -> Column:
 def from_millis(ms: Column) -> Column:
     """A moment from epoch milliseconds; null unless positive."""
     return F.when(ms > 0, F.timestamp_millis(ms.cast("long")).cast("timestamp_ntz"))
+
+
+def moment(value: Column) -> Column:
+    """A moment from text that holds epoch milliseconds or an ISO date and time; null if it holds neither."""
+    text = F.btrim(value)
+    return F.coalesce(from_millis(text.try_cast("double")), F.when(~text.rlike(r"^[-+0-9.eE]+$"), F.try_to_timestamp(text).cast("timestamp_ntz")))

@@ -110,6 +110,16 @@ def viewed(articles: DataFrame, events: DataFrame, singles: DataFrame) -> DataFr
     return articles.join(e, "event_id", "left").join(s, "id", "left").withColumn("viewed", flag).drop("__event", "__single")
 
 
+def access(users: DataFrame, now: Column, charged: bool = True) -> DataFrame:
+    """user_id, state (open, comped, paid, trial, expired), until and days_left, rounded up. users: user_id, comped, paid_until, trial_ends_at."""
+    paid, trial = F.col("paid_until") > now, F.col("trial_ends_at") > now
+    state = F.when(F.lit(not charged), "open").when(F.col("comped"), "comped").when(paid, "paid").when(trial, "trial").otherwise("expired")
+    until = F.when(state == "paid", F.col("paid_until")).when(state == "trial", F.col("trial_ends_at")).when(state == "expired", F.coalesce("trial_ends_at", "paid_until"))
+    left = F.ceil((F.unix_seconds(until.cast("timestamp")) - F.unix_seconds(now.cast("timestamp"))) / 86400.0)
+    days = F.when(state.isin("paid", "trial"), F.greatest(F.lit(0), left)).when(state == "expired", 0)
+    return users.select("user_id", state.alias("state"), until.alias("until"), days.cast("int").alias("days_left"))
+
+
 def found_users(users: DataFrame, q: str) -> DataFrame:
     """Users whose name or address holds q, case ignored."""
     q = q.strip().lower()

@@ -341,6 +341,11 @@ def translated_text(translations: DataFrame) -> DataFrame:
     return t.groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "\n").alias("translated"))
 
 
+def with_translations(articles: DataFrame, translations: DataFrame) -> DataFrame:
+    """articles with the text of all their translations, for searches that read them; one row for each article."""
+    return articles.join(translated_text(translations).withColumnRenamed("article_id", "id"), "id", "left")
+
+
 def slug(text: str, most: int = 60) -> str:
     import unicodedata
 

@@ -47,9 +47,9 @@ def wfigs(payloads: DataFrame) -> DataFrame:
 
 def perimeters(payloads: DataFrame) -> DataFrame:
     """external_id and geometry (GeoJSON text) of fire perimeters: polygons of bounded size only."""
-    f = _features(payloads, "struct<properties:struct<attr_IrwinID:string,poly_DateCurrent:double>,geometry:struct<type:string,coordinates:string>>")
+    f = _features(payloads, "struct<properties:struct<attr_IrwinID:string,poly_DateCurrent:string>,geometry:struct<type:string,coordinates:string>>")
     shape = F.concat(F.lit('{"type":"'), F.col("f.geometry.type"), F.lit('","coordinates":'), F.col("f.geometry.coordinates"), F.lit("}"))
-    out = f.filter(F.col("f.geometry.type").isin("Polygon", "MultiPolygon")).select(F.upper(F.regexp_replace("f.properties.attr_IrwinID", "[{}]", "")).alias("external_id"), shape.alias("geometry"), air.from_millis(F.col("f.properties.poly_DateCurrent")).alias("geometry_at"))
+    out = f.filter(F.col("f.geometry.type").isin("Polygon", "MultiPolygon")).select(F.upper(F.regexp_replace("f.properties.attr_IrwinID", "[{}]", "")).alias("external_id"), shape.alias("geometry"), air.moment(F.col("f.properties.poly_DateCurrent")).alias("geometry_at"))
     w = Window.partitionBy("external_id").orderBy(F.desc_nulls_last("geometry_at"), "geometry")
     return out.filter((F.octet_length("geometry") <= MOST_SHAPE_BYTES) & (F.col("external_id") != "")).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
