@@ -16,7 +16,7 @@ from tidewire.functions import air, categories, lang, scoring, terms
 from tidewire.operators import catalog, clusters, coverage, hazards, ops, ranks
 from tidewire.operators.documents import topics
 from tidewire.plans import bql, criteria
-from tidewire.sources import feeds, gazetteer, reports, sinks, synthetic
+from tidewire.sources import feeds, gazetteer, html, reports, sinks, synthetic
 from tidewire.streaming import alerts, ingest
 
 NOW = datetime(2024, 1, 31)
@@ -176,6 +176,28 @@ def test_languages_by_script_and_words(spark):
     assert all(r.want == r.got for r in t.select("want", lang.detect(F.col("t"), F.lit("en")).alias("got")).collect())
 
 
+def test_explanations_by_brute_force(spark):
+    rng, words = random.Random(5), ["quake", "town", "sea", "quakes", "Quake", "old-quake", "the"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    rows = [(i, say(3), say(6), say(30)) for i in range(80)]
+    a = spark.createDataFrame(rows, "id int, title string, summary string, content string")
+    got = {(r.id, r.term): r for r in ops.explain(a, criteria.Criteria(keywords=("quake",), query="sea OR title:town")).collect()}
+    for i, *fields in rows:
+        for term in ("quake", "sea", "town"):
+            find = re.compile(rf"\b{term}\b", re.I)
+            first = next((name for name, text in zip(("title", "summary", "content"), fields) if find.search(text)), None)
+            r = got.get((i, term))
+            assert (r is None) == (first is None)
+            if r:
+                assert r.field == first and r.times == min(9, sum(len(find.findall(t)) for t in fields)) and find.search(r.snippet)
+
+
+def test_whole_pages_are_read_unless_told_otherwise():
+    page = "<p>" + "word " * 400_000 + "</p><p>the very last words of a very long page are read</p>"
+    assert html.extract(page).endswith("are read") and len(html.extract(page, most_text=20_000)) == 20_000
+    assert not html.extract(page, most_input=1_500_000).endswith("are read")
+
+
 def test_a_query_on_plain_text_has_no_other_fields(spark):
     t = spark.createDataFrame([("quake in town",)], "t string")
     fields = bql.plain(F.col("t"))

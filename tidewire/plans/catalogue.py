@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_articles, q_catalog, q_hazards, q_ops, q_providers, q_search
+from . import q_articles, q_catalog, q_feeds, q_hazards, q_ops, q_providers, q_search
 
-MODULES: tuple = (q_search, q_articles, q_hazards, q_ops, q_catalog, q_providers)
+MODULES: tuple = (q_search, q_articles, q_hazards, q_ops, q_catalog, q_providers, q_feeds)
 
 
 def queries() -> dict:

@@ -127,10 +127,11 @@ def predicate(c: Criteria, columns: list[str], now: datetime, centroids: dict |
     if c.languages:
         parts.append(F.col("language").isin(*c.languages))
     if c.countries:
-        held = F.array("country")
         if "places" in columns:
-            held = F.array_union(F.transform(F.coalesce("places", F.array().cast("array<struct<name:string,country:string,lat:double,lon:double,kind:string>>")), lambda p: p["country"]), held)
-        parts.append(F.arrays_overlap(held, F.array(*map(F.lit, c.countries))))
+            held = F.transform(F.coalesce("places", F.array().cast("array<struct<name:string,country:string,lat:double,lon:double,kind:string>>")), lambda p: p["country"])
+            parts.append(F.arrays_overlap(F.array_union(held, F.array("country")), F.array(*map(F.lit, c.countries))))
+        else:
+            parts.append(F.col("country").isin(*c.countries))
     if c.categories:
         parts.append(F.arrays_overlap("categories", F.array(*map(F.lit, c.categories))))
     if c.min_sources > 1:

@@ -23,7 +23,7 @@ SITE_VOICE = (
     "we use cookies", "uses cookies", "accept all cookies", "cookie settings", "all rights reserved", "sign up for our", "subscribe to our", "enable javascript",
     "javascript is disabled", "javascript to continue", "your browser does not support", "please enable", "already a subscriber", "create a free account", "start your free trial",
 )
-MOST_INPUT, MOST_TEXT, LEAST_TEXT, LEAST_WORDS = 1_500_000, 20_000, 200, 10
+LEAST_TEXT, LEAST_WORDS = 200, 10
 BLOCKS = BODY | OTHER
 
 
@@ -89,22 +89,22 @@ class _Blocks(HTMLParser):
         if len(text) < LEAST_TEXT:
             other = " ".join(t for _, t in sorted(self.other) if len(t.split()) >= LEAST_WORDS)
             text = other if len(other) > len(text) else text
-        return text[:MOST_TEXT]
+        return text
 
 
-def extract(html: str | None) -> str:
-    """Text of the page's blocks in document order; blocks of links only, or of site talk, are left out."""
+def extract(html: str | None, most_input: int | None = None, most_text: int | None = None) -> str:
+    """Text of the page's blocks in document order; blocks of links only, or of site talk, are left out. Whole pages are read unless a most is given."""
     parser = _Blocks()
-    parser.feed((html or "")[:MOST_INPUT])
+    parser.feed((html or "")[:most_input])
     parser.close()
-    return parser.result()
+    return parser.result()[:most_text]
 
 
-def page_text(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+def page_text(pages: DataFrame, key: str, html: str = "html", most_input: int | None = None, most_text: int | None = None) -> DataFrame:
     ship(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
-        return column.map(extract)
+        return column.map(lambda page: extract(page, most_input, most_text))
 
     return pages.select(key, text(html).alias("text"))
