@@ -42,7 +42,9 @@ COORDINATES, ROWS = 112, 4
 BANDS = COORDINATES // ROWS
 SMALL = 8
 #: Classes of a block: those outside their bucket's largest component, and those they are held against.
-QUERIES, ROWS_AT_ONCE = 512, 1024
+QUERIES, ROWS_AT_ONCE = 2048, 4096
+#: Elements of a set, so many as a block has room for on average.
+ELEMENTS = 500
 #: Elements that are sketched at once.
 CHUNK = 2_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -227,12 +229,17 @@ def _block_links(ids: list, sets: list, comps: list, ids2: list, sets2: list, co
     return us, vs
 
 
-def _by_blocks(outside: DataFrame, inside: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _by_blocks(outside: DataFrame, inside: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, work: base.Scratch) -> DataFrame:
     """Links (u, v) of the outside classes with classes of other components of their group."""
     asking = outside.select("id", F.lit(True).alias("asks"))
-    rows = inside.join(groups, "id").join(asking, "id", "left").select("id", "grp", "component", F.coalesce("asks", F.lit(False)).alias("query"))
-    parts = rows.groupBy("grp").agg(F.ceil(F.count_if("query") / QUERIES).cast("int").alias("n_q"), F.ceil(F.count("*") / ROWS_AT_ONCE).cast("int").alias("n_r")).filter("n_q > 0")
-    rows = rows.join(parts, "grp").withColumn("mix", F.xxhash64("id")).join(sets, "id")
+    asked = groups.join(asking, "id").select("grp").distinct()
+    rows = inside.join(groups, "id").join(asked, "grp", "left_semi").join(asking, "id", "left").join(sets, "id")
+    rows = rows.select("grp", "id", "component", F.coalesce("asks", F.lit(False)).alias("query"), F.size("set").cast("long").alias("n"), "set")
+    rows = work.keep(rows, "grouped")
+    # Blocks are bounded by their classes and, on average, by the elements of their sets, so long texts make small ones.
+    blocks = lambda held, most: F.greatest(F.ceil(F.count_if(held) / most), F.ceil(F.sum(F.when(held, F.col("n")).otherwise(0)) / (most * ELEMENTS))).cast("int")
+    parts = work.keep(rows.groupBy("grp").agg(blocks(F.col("query"), QUERIES).alias("n_q"), blocks(F.lit(True), ROWS_AT_ONCE).alias("n_r")), "parts")
+    rows = rows.join(parts, "grp").withColumn("mix", F.xxhash64("id"))
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = rows.filter("query").select("grp", F.pmod("mix", "n_q").cast("int").alias("q"), over("n_r").alias("r"), "id", "component", "set")
     others = rows.select(F.col("grp").alias("grp2"), over("n_q").alias("q2"), F.pmod("mix", "n_r").cast("int").alias("r2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("set").alias("set2"))
@@ -282,9 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         # What large buckets connect, alike or not, is a group.
         named = connected(large.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")), work, "groups")
         groups = inside.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-        found = work.keep(_by_blocks(outside, inside, groups, sets, percent), "found")
+        found = work.keep(_by_blocks(outside, inside, groups, sets, percent, work), "found")
         labels = connected(links.union(found), work, "all_labels")
-    work.drop("sets", "large", "links")
+    work.drop("sets", "large", "links", "grouped", "parts")
 
     to_class = classes.select("d1", "d2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
