@@ -119,6 +119,25 @@ def test_held_out_labels_teach_nothing(spark, rows):
     assert scores[0] == scores[1]
 
 
+def slow_statistics(text):
+    data = text.encode()
+    words, lines = data.split(), data.split(b"\n")
+    share = lambda test: sum(map(test, (bytes([b]) for b in data))) / len(data)
+    blank, marks = (lambda c: c in b" \t\n\x0b\f\r"), b"#*$%&|<>!?"
+    return {
+        1: share(bytes.islower), 2: share(bytes.isupper), 3: share(bytes.isdigit), 4: share(blank), 5: share(lambda c: c in b"#*$%&|<>"), 6: share(lambda c: c in b"!?"), 8: share(lambda c: c[0] > 127),
+        9: math.log1p(len(data)), 10: math.log1p(len(words)), 11: sum(map(len, words)) / len(words), 12: len(set(words)) / len(words), 13: len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
+        14: sum(w[-1:] in [bytes([m]) for m in marks] for w in words) / len(words), 15: max(map(len, words)), 16: len(set(lines)) / len(lines), 17: len(data) / len(lines), 18: data.count(b".") / len(words), 19: len(zlib.compress(data, 1)) / len(data),
+    }
+
+
+def test_statistics_by_brute_force():
+    for text in ("One two! Three? #4 $ five. Six six\nsix\n\nsix é<b>", "x", "a\tb\x0bc ends!", LINE * 300):
+        got = quality_classifier.statistics(text)
+        assert len(got) == quality_classifier.N_FEATURES and all(abs(got[k] - v) < 1e-9 for k, v in slow_statistics(text).items())
+    assert not quality_classifier.statistics(None).any() and not quality_classifier.statistics("").any()
+
+
 def slow_grow(x, y, depth):
     """One tree by trying every cut between values: the gains of the first round of boosting."""
     start = math.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
