@@ -16,7 +16,7 @@ from tidewire.functions import air, categories, lang, scoring, terms
 from tidewire.operators import catalog, clusters, coverage, hazards, ops, ranks
 from tidewire.operators.documents import topics
 from tidewire.plans import bql, criteria
-from tidewire.sources import feeds, gazetteer, html, reports, sinks, synthetic
+from tidewire.sources import backup, feeds, gazetteer, html, reports, sinks, synthetic
 from tidewire.streaming import alerts, ingest
 
 NOW = datetime(2024, 1, 31)
@@ -341,6 +341,19 @@ def test_reports_become_topics(spark, tmp_path):
     assert [t.heading for t in got["a.docx"]] == ["The harbour is closed again"] and got["c.docx"] == []
 
 
+def test_backups_come_back_whole(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", None), (2, None, NOW)], "id int, name string, taken_at timestamp_ntz")
+    told = backup.back_up({"a": a, "b": a.limit(0)}, str(tmp_path / "one"))
+    assert told == backup.digest({"b": a.limit(0), "a": a.orderBy(F.desc("id")).select("name", "taken_at", "id").withColumn("taken_at", F.lit(None).cast("timestamp_ntz"))})
+    assert told != backup.digest({"a": a.withColumn("name", F.lit("x")), "b": a.limit(0)}) != backup.digest({"a": a.union(a), "b": a.limit(0)})
+    back = backup.restore(spark, str(tmp_path / "one"), {"a": a.limit(0), "b": a.limit(0)}, told)
+    assert sorted(map(tuple, back["a"].collect())) == sorted(map(tuple, a.collect())) and back["b"].count() == 0
+    with pytest.raises(ValueError, match="aren't empty: a"):
+        backup.restore(spark, str(tmp_path / "one"), {"a": a, "b": a.limit(0)})
+    with pytest.raises(ValueError, match="digest"):
+        backup.restore(spark, str(tmp_path / "one"), {"a": a.limit(0), "b": a.limit(0)}, "other")
+
+
 def test_the_invented_corpus_is_the_same_each_time(spark):
     a, b = (synthetic.articles(spark, 400, words=20, seed=s).orderBy("id").collect() for s in (1, 1))
     assert a == b and len({r.title for r in a}) > 100 and {len(r.content.split()) for r in a} == {20} and len({r.event_id for r in a}) <= 100
