@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,6 +11,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: White space of a word boundary, as characters and as a Java/RE2 character class.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,11 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def python_ready(spark: SparkSession) -> None:
     """Send this package to the workers, once a context, and hold Arrow batches to a small size."""
-    context = spark.sparkContext
-    if not any("tidewire-code" in f for f in context._python_includes):
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        to = os.path.join(tempfile.mkdtemp(), "tidewire-code")
-        context.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(package), "tidewire"))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
