@@ -73,30 +73,36 @@ def held(known: Column, term: Column) -> Column:
     return (can | known["odd"]) & F.regexp_like(known["text"], term["pattern"])
 
 
-def holds(text: Column, words: list[str]) -> Column:
+def oddly_folded(text: Column) -> Column:
+    """Whether a letter outside ASCII equals an ASCII letter when case is ignored."""
+    odd = F.lit(False)
+    for c in _FOLDED:
+        odd = odd | F.contains(text, F.lit(c))
+    return odd
+
+
+def holds(text: Column, words: list[str], low: Column | None = None, odd: Column | None = None) -> Column:
     """Whether a text can match all these words: a search for bytes that spares most texts the regular expression.
 
     Only words of ASCII are looked for, and a text with a letter that folds to one of ASCII passes, so no match is lost.
+    low and odd are the text in lower case and whether it is ``oddly_folded``, if they are at hand.
     """
     plain = sorted({w.lower() for w in words if w.isascii() and w.isalnum()})
     if not plain:
         return F.lit(True)
-    low, found = F.lower(text), F.lit(True)
+    low, found = F.lower(text) if low is None else low, F.lit(True)
     for w in plain:
         found = found & F.contains(low, F.lit(w))
-    odd = F.lit(False)
-    for c in _FOLDED:
-        odd = odd | F.contains(text, F.lit(c))
-    return found | odd
+    return found | (oddly_folded(text) if odd is None else odd)
 
 
 def one_of(text: Column, term: str, portable: bool = False) -> Column:
     return holds(text, term.split()) & text.rlike(flags(portable) + keyword(term, portable))
 
 
-def any_of(text: Column, terms: list[str], portable: bool = False) -> Column:
+def any_of(text: Column, terms: list[str], portable: bool = False, low: Column | None = None, odd: Column | None = None) -> Column:
     """Whether any of the terms occurs: one alternation, one pass over the texts that can hold one."""
     can = F.lit(False)
     for t in terms:
-        can = can | holds(text, t.split())
+        can = can | holds(text, t.split(), low, odd)
     return can & text.rlike(flags(portable) + "(?:" + "|".join(keyword(t, portable) for t in terms) + ")")

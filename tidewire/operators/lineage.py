@@ -25,11 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder of the session."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df as written to a table in the shared folder: made once, and read again if an executor is lost."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark).rstrip('/')}/tidewire-made-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table on as many partitions as there are cores at least.
+
+    A small file of one row group would otherwise be one task in all that follows; tables of many splits stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 _MADE: dict[tuple, tuple] = {}
@@ -42,8 +55,7 @@ def made_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) ->
     """
     key = (spark.sparkContext.applicationId, *key)
     if key not in _MADE:
-        df, path = make(), f"{shared_folder(spark).rstrip('/')}/tidewire-made-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df, path = _written(make())
         _MADE[key] = path, df.schema
     path, schema = _MADE[key]
     return spark.read.schema(schema).parquet(path)

@@ -294,10 +294,28 @@ def query_column(query: str, fields: dict[str, Column], portable: bool = False)
         return found
     can = F.lit(False)
     for words in needed:
-        can = can | terms.holds(fields["all"], words)
+        can = can | terms.holds(fields["all"], words, fields.get("low"), fields.get("odd"))
     return can & found
 
 
+def fields_of(query: str) -> set[str]:
+    """The fields that a query reads; none if it can't be read."""
+
+    def walk(node) -> set[str]:
+        if isinstance(node, Scoped):
+            return {node.field}
+        if isinstance(node, Not):
+            return walk(node.child)
+        if isinstance(node, (And, Or)):
+            return walk(node.left) | walk(node.right)
+        return {"all"}
+
+    try:
+        return walk(parse(query))
+    except QueryError:
+        return set()
+
+
 def plain(text: Column) -> dict[str, Column]:
     """The fields of a plain text: it is all and text, the other fields are empty."""
     return {k: text if k in ("all", "text") else F.lit("") for k in ("all", "headline", "text", "lede", "source", "site")}
@@ -405,6 +423,9 @@ def prefilter_terms(query: str) -> list[list[str]] | None:
             return [node.text.lower().split()] if plain else None
         if isinstance(node, Scoped):
             return walk(node.term) if node.field in ("headline", "text") else None
+        if isinstance(node, Near):
+            left, right = walk(node.left), walk(node.right)
+            return None if left is None or right is None else [left[0] + right[0]]
         if isinstance(node, And):
             left, right = walk(node.left), walk(node.right)
             if left is None or right is None:

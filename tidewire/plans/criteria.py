@@ -139,17 +139,32 @@ def predicate(c: Criteria, columns: list[str], now: datetime, centroids: dict |
         parts.append(F.col("event_id").isNotNull() & enough)
     if c.hide_stale:
         parts.append(F.col("event_id").isNull() | (F.col("updated_at") >= F.lit(now - timedelta(hours=c.stale_hours)).cast("timestamp_ntz")))
-    if keywords := [k for k in c.keywords if k.strip()]:
-        parts.append(terms.any_of(texts["all"], keywords, c.portable))
-    if excluded := [k for k in c.exclude_keywords if k.strip()]:
-        parts.append(~terms.any_of(texts["all"], excluded, c.portable))
-    if queries := c.all_queries():
-        found = F.lit(False)
-        for q in queries:
-            found = found | bql.query_column(q, texts, c.portable)
-        parts.append(found)
-    if not c.passing_mentions and (plain := plain_terms(c)):
-        parts.append(prominent(plain, texts["headline"], F.coalesce("content", F.lit("")), texts["all"], min(10, max(1, c.min_mentions or 2))))
+    keywords, excluded, queries = [k for k in c.keywords if k.strip()], [k for k in c.exclude_keywords if k.strip()], c.all_queries()
+    plain = [] if c.passing_mentions else plain_terms(c)
+    if keywords or excluded or queries:
+        used = {"all"} | ({"headline"} if plain else set()) | {f for q in queries for f in bql.fields_of(q)}
+
+        def told(known: Column) -> Column:
+            read = {f: known[f] for f in (*used, "low", "odd")}
+            said = [terms.any_of(read["all"], keywords, c.portable, read["low"], read["odd"])] if keywords else []
+            said += [~terms.any_of(read["all"], excluded, c.portable, read["low"], read["odd"])] if excluded else []
+            if queries:
+                found = F.lit(False)
+                for q in queries:
+                    found = found | bql.query_column(q, {f: F.lit("") for f in texts} | read, c.portable)
+                said.append(found)
+            if plain:
+                said.append(prominent(plain, read["headline"], known["body"], read["all"], min(10, max(1, c.min_mentions or 2))))
+            out = said[0]
+            for x in said[1:]:
+                out = out & x
+            return out
+
+        # The texts are put together once a row, and only those that the criteria read.
+        body = [F.coalesce("content", F.lit("")).alias("body")] if plain else []
+        every = texts["all"]
+        known = F.struct(*[texts[f].alias(f) for f in sorted(used)], F.lower(every).alias("low"), terms.oddly_folded(every).alias("odd"), *body)
+        parts.append(terms.let(known, told))
     if areas := [g for g in (*c.geos, c.geo) if g]:
         near = F.lit(False)
         for area in areas:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import made_once
+from ..operators.lineage import made_once, spread
 
 #: The moment that stands for "now" over the test tables.
 NOW = "2024-01-31 00:00:00"
@@ -32,7 +32,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adapted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article for each document: title is its first line, body the rest; of a first line over 120 characters
     the title has the start, and the body is the whole text, so no word is lost or split."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     at = F.instr("text", "\n")
     number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     country = F.element_at(F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv]), F.col("lang"))
