@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread
 from ..runtime import ship
 
 #: White space of a word boundary, as characters and as a Java/RE2 character class.
@@ -21,7 +22,7 @@ ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def python_ready(spark: SparkSession) -> None:
