@@ -208,7 +208,12 @@ def _block_links(ids: list, sets: list, comps: list, ids2: list, sets2: list, co
     sizes, sizes2 = np.array([len(s) for s in sets]), np.array([len(s) for s in sets2])
     flat, flat2 = np.concatenate(sets), np.concatenate(sets2)
     row, row2 = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(sets2)), sizes2)
-    shared = np.intersect1d(flat, flat2)
+    values, at, times = np.unique(flat, return_index=True, return_counts=True)
+    values2, at2, times2 = np.unique(flat2, return_index=True, return_counts=True)
+    shared, i, j = np.intersect1d(values, values2, assume_unique=True, return_indices=True)
+    # What a class shares only with itself, on the other side of the block, tells nothing of other classes.
+    alone = (times[i] == 1) & (times2[j] == 1) & (np.array(ids)[row[at[i]]] == np.array(ids2)[row2[at2[j]]])
+    shared = shared[~alone]
     both = np.zeros((len(sets), len(sets2)), np.float32)
     for i in range(0, len(shared), columns):
         part = shared[i : i + columns]
