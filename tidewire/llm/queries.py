@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe_count, chat, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, warc
+from . import base, bpe_count, chat, decontaminate, importance, language_id, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, token_files, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"), percent=25, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(base.crc_mod(F.col("doc_id"), 3) == 0, changed).otherwise(F.col("text"))
+    return merkle.proofs(base.table(spark, sf_dir, "documents"), tampered)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = base.Scratch(spark, "ids").root
+    token_files.write(base.table(spark, sf_dir, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return token_files.documents(spark, root)
+
+
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -131,6 +150,20 @@ HAVING 100 * count(DISTINCT m.key) >= {decontaminate.COVERED} * t.n_windows
 """
 
 
+#: CRC-32 of a text, byte by byte over a table t of 256 remainders.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))"
+
+
+def _crc_sql(text: str) -> str:
+    octets = f"list_transform(range(1, length(hex(encode({text}))), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _leaf_sql(**other: str) -> str:
+    values = [other.get(c, f"{c}::VARCHAR") for c in merkle.FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
@@ -231,6 +264,64 @@ SELECT m.conv_id, m.turn, m.role, coalesce(own.content, '') AS content, b.parent
 FROM msg m LEFT JOIN own USING (rid) LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
 LEFT JOIN best b ON b.conv_id = m.conv_id AND b.turn = m.turn LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """.replace("BLANKS", _BLANKS),
+    "op11_importance_resampling": rf"""
+WITH tab AS (SELECT {_CRC_TABLE} AS t),
+texts AS (
+  SELECT true AS doc, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT doc, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM texts),
+f AS (SELECT doc, rid, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS s FROM w),
+d AS (SELECT s, {_crc_sql("s")} % 10000 AS b FROM (SELECT DISTINCT s FROM f), tab),
+hashed AS (SELECT doc, rid, b FROM f JOIN d ON f.s = d.s),
+n AS (SELECT b, count(*) FILTER (WHERE doc) AS s, count(*) FILTER (WHERE NOT doc) AS t FROM hashed GROUP BY b),
+total AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM n),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM n, total),
+weights AS (SELECT rid, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM hashed JOIN g ON hashed.b = g.b WHERE doc GROUP BY rid),
+scored AS (
+  SELECT w.rid, doc_id, len(t) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '-')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weights ON w.rid = weights.rid WHERE doc),
+able AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight, n_words) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN able ON scored.rid = able.rid
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE tab AS (SELECT {_CRC_TABLE} AS t),
+hashed AS (
+  SELECT doc_id, lang, {_leaf_sql()} AS leaf,
+    {_leaf_sql(text=f"CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, {_LOWER}) ELSE text END")} AS now
+  FROM documents, tab),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree
+  FROM hashed),
+lv(tree, level, i, h, n) AS (
+  SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM p
+  UNION ALL
+  SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM lv WHERE n > 1 GROUP BY tree, level, i // 8),
+subs AS (SELECT tree, h AS subroot, level AS high FROM lv WHERE n = 1),
+top(level, i, h, n) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM subs
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8),
+roots AS (SELECT h AS root, level AS top_high FROM top WHERE n = 1),
+asked AS (SELECT p.tree, i, subroot, high, root, unnest(range(high + top_high)) AS step FROM p JOIN subs ON p.tree = subs.tree, roots),
+steps AS (
+  SELECT a.tree, a.i, a.step, s.h, s.i AS j, a.i >> (3 * a.step) AS mine FROM asked a JOIN lv s ON a.step < a.high AND s.tree = a.tree AND s.level = a.step AND s.i // 8 = a.i >> (3 * a.step + 3)
+  UNION ALL
+  SELECT a.tree, a.i, a.step, s.h, s.i, a.tree >> (3 * (a.step - a.high)) FROM asked a JOIN top s ON a.step >= a.high AND s.level = a.step - a.high AND s.i // 8 = a.tree >> (3 * (a.step - a.high) + 3)),
+around AS (
+  SELECT tree, i, step, coalesce(string_agg(h, '' ORDER BY j) FILTER (WHERE j < mine), '') AS l, coalesce(string_agg(h, '' ORDER BY j) FILTER (WHERE j > mine), '') AS r
+  FROM steps GROUP BY tree, i, step),
+told AS (SELECT tree, i, string_agg(l || r, '' ORDER BY step) AS siblings FROM around GROUP BY tree, i),
+fold(tree, i, step, h) AS (
+  SELECT tree, i, 0, now FROM p
+  UNION ALL
+  SELECT f.tree, f.i, f.step + 1, sha256(l || f.h || r) FROM fold f JOIN around a ON a.tree = f.tree AND a.i = f.i AND a.step = f.step),
+ends AS (SELECT tree, i, arg_max(h, step) AS h FROM fold GROUP BY tree, i)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, ends.h AS folded_root, ends.h = root AS verified
+FROM p JOIN subs ON p.tree = subs.tree JOIN ends ON ends.tree = p.tree AND ends.i = p.i LEFT JOIN told ON told.tree = p.tree AND told.i = p.i, roots
+""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
