@@ -256,21 +256,32 @@ def test_mix_meets_targets(spark):
 # 7
 
 
-def test_templates_are_found_and_torn_slots_are_not(spark):
+def test_templates_are_found_and_torn_slots_count_letter_for_letter(spark):
     item = "A train leaves the old station of the city at 9 in the morning, Anna Miller rides 120 km with it and 120 again"
     bench = spark.createDataFrame([(1, item), (2, "too short item"), (3, None), (None, "x"), (1, item)], "item_id long, text string")
     other = item.replace("120", "75").replace("9", "10").replace("Anna Miller", "Peter Smith")
     torn = item.replace("120 again", "80 again")
-    texts = ["before it. " + item + " after", "x " + other, torn, "nothing of the kind is in here at all today", None, "", "it is a TOO short, item!", item.upper()]
+    texts = ["before it. " + item + " after", "x " + other, torn, "nothing of the kind is in here at all today", None, "", "it is a TOO short, item!", item.upper(), "first line\n\tTOO short, item!\nlast", "Too short item", torn.replace("9", "10").replace("Anna", "Peter").replace("train", "plane")]
     got = {(r.doc_id, r.item_id): r.same_values for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     assert got[0, 1] is True and got[1, 1] is False
-    assert (2, 1) not in got and (3, 1) not in got and got[6, 2] is True
+    # Most windows of the torn copy match word for word; one that has other values all over has few of these.
+    assert got[2, 1] is False and (3, 1) not in got and (10, 1) not in got
+    # A short item is looked for as a line or text of its own.
+    assert (6, 2) not in got and got[8, 2] is True and got[9, 2] is True
     left = {r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()}
-    assert left == {2, 3, 4, 5} | ({7} - {k[0] for k in got})
+    assert left == {3, 4, 5, 6, 10} | ({7} - {k[0] for k in got})
     assert decontaminate.contaminated(odd_rows(spark), bench).count() == 0
     assert decontaminate.contaminated(empty(spark), bench.limit(0)).count() == 0
 
 
+def test_one_word_items_flag_no_running_text(spark):
+    item = "The plant made 120 km of cable in March and it was said there that 120 again would be made by the same people in the year to come"
+    bench = spark.createDataFrame([(1, item), (2, "Yes"), (3, "42"), (4, "no, thanks"), (5, "...")], "item_id long, text string")
+    texts = [item.replace("120 again", "80 again"), "we said yes and 42 to it", "question?\nYes.\nreason", "No thanks", "42", None, "...", "a line\n42 km"]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got.pop((0, 1))[0] > 12 and got == {(2, 2): (1, 1), (3, 4): (1, 1), (4, 3): (1, 1)}
+
+
 # 8
 
 

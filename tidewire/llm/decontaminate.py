@@ -6,14 +6,18 @@ become typed placeholders. Windows of ``WINDOW`` tokens of the benchmark and of
 joined; windows in which more than half of the tokens are placeholders are hashed literally. A window with
 placeholders is also hashed by its tokens in lower case, so that a copy in other case (Title Case) matches. Windows that match
 on one diagonal (document place less item place) are one occurrence. It is consistent if each
-slot value of the item has one value in the document; then the passage is the item, perhaps with other parameters. A
-document is contaminated by an item if the windows of its consistent occurrences cover at least
+slot value of the item has one value in the document; then the passage is the item, perhaps with other parameters. Windows that match by
+placeholder count only in consistent occurrences, those that match letter for letter (case apart) count in any. A
+document is contaminated by an item if the windows that count cover at least
 ``COVERED`` percent of the item's distinct windows.
 
+An item of fewer tokens than a window would be found in nearly any text, so it has another rule: it contaminates the documents of which a
+whole line, or the whole text, has just its tokens in lower case.
+
 The benchmark's windows are broadcast if there are at most ``BROADCAST_ROWS``, else the join shuffles.
 
 Nulls: a null text, or one without tokens, matches nothing; rows with a null doc_id or item_id are not
-compared. Items shorter than a window are one window of all their tokens. Repeated rows count once, and
+compared. Repeated rows count once, and
 repeated windows of an item count once. Empty tables give empty results. Extra columns are not read by ``contaminated``;
 ``clean`` passes them through.
 """
@@ -62,8 +66,8 @@ def _windows(size: int) -> Column:
     return F.when(F.col("slotted"), F.transform(places, window)).otherwise(F.transform(places, plain))
 
 
-def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
-    """key, size and one row for each window; sizes: None for the one of each item, else those to make."""
+def windows(texts: DataFrame, key: str) -> DataFrame:
+    """key and one row for each window of WINDOW tokens."""
     digit = lambda w: F.ascii(w).between(48, 57)
     marked = texts.select(key, _marked(F.col("text")).alias("marked"))
     # Without a number or a name there is no slot, so the canonical tokens are the literal ones.
@@ -75,34 +79,43 @@ def windows(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
 
     bare = F.transform("tokens", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME_MARK))))
     hashed = tokens.withColumns({"c": F.when(F.col("slotted"), F.transform("tokens", canonical)), "u": F.when(F.col("slotted"), bare)}).drop("tokens")
-    n = F.size("v")
     none = F.array().cast("array<struct<key:bigint,literal:bigint,at:int,values:array<bigint>>>")
-    if sizes is None:
-        made = none
-        for size in range(1, WINDOW + 1):
-            made = F.when((n == size) if size < WINDOW else (n >= size), _windows(size)).otherwise(made)
-        hashed = hashed.withColumn("size", F.least(n, F.lit(WINDOW)))
-    else:
-        made = F.concat(*[F.when(n >= size, _windows(size)).otherwise(none) for size in sizes])
-        hashed = hashed.withColumn("size", F.lit(WINDOW))
+    made = F.when(F.size("v") >= WINDOW, _windows(WINDOW)).otherwise(none)
     # The outer form keeps the optimiser from making the windows once more in a filter below.
-    return hashed.select(key, "size", made.alias("made")).select(key, "size", F.explode_outer("made").alias("w")).filter(F.col("w").isNotNull()).select(key, "size", "w.key", "w.literal", "w.at", "w.values")
+    return hashed.select(key, made.alias("made")).select(key, F.explode_outer("made").alias("w")).filter(F.col("w").isNotNull()).select(key, "w.key", "w.literal", "w.at", "w.values")
+
+
+def _few(text: Column) -> Column:
+    """The tokens of a text of fewer than a window, joined by spaces; null for others."""
+    tokens = _tokens(F.lower(text))
+    return F.when(F.size(tokens).between(1, WINDOW - 1), F.array_join(tokens, " "))
+
+
+def _whole_lines(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id and item_id where an item shorter than a window is a line or text of its own; None if there is no such item."""
+    short = benchmark.filter("item_id IS NOT NULL").select("item_id", _few(F.coalesce("text", F.lit(""))).alias("line")).filter("line IS NOT NULL").distinct()
+    n = short.count()
+    if not n:
+        return None
+    lines = F.array_union(F.array(F.col("text")), F.split("text", "\n", -1))
+    held = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.transform(lines, _few))).alias("line")).filter("line IS NOT NULL")
+    return held.join(F.broadcast(short) if n <= BROADCAST_ROWS else short, "line").select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED) -> DataFrame:
-    """doc_id, item_id, n_matched and n_windows (distinct windows of the item), and same_values (no slot was changed)."""
-    items = windows(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct(), "item_id", None).persist()
-    typed = items.groupBy("item_id", "size", "key").agg(F.min("at").alias("item_at"), F.min_by("values", "at").alias("item_values")).withColumn("hash", F.col("key"))
-    literal = items.filter("literal IS NOT NULL").groupBy("item_id", "size", "key", F.col("literal").alias("hash")).agg(F.min("at").alias("item_at"))
+    """doc_id, item_id, n_matched and n_windows (distinct windows of the item), and same_values (no slot was changed); a short item counts as one window."""
+    items = windows(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct(), "item_id").persist()
+    typed = items.groupBy("item_id", "key").agg(F.min("at").alias("item_at"), F.min_by("values", "at").alias("item_values")).withColumn("hash", F.col("key"))
+    literal = items.filter("literal IS NOT NULL").groupBy("item_id", "key", F.col("literal").alias("hash")).agg(F.min("at").alias("item_at"))
     totals = typed.groupBy("item_id").agg(F.count_distinct("key").alias("n_windows"))
     held = typed.unionByName(literal, allowMissingColumns=True).join(totals, "item_id").persist()
-    rows, sizes = held.count(), sorted(r[0] for r in held.select("size").distinct().collect())
-    made = windows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id", sizes or [WINDOW]).drop("size")
+    rows = held.count()
+    made = windows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id")
     # A window with slots also meets the items by its letters and numbers alone, where no slot speaks.
     alone = F.array(F.struct(F.col("key").alias("hash"), F.col("values")))
     both = F.array(F.struct(F.col("key").alias("hash"), F.col("values")), F.struct(F.col("literal").alias("hash"), F.lit(None).cast("array<bigint>").alias("values")))
     made = made.select("doc_id", "at", F.explode(F.when(F.col("literal").isNull(), alone).otherwise(both)).alias("w")).select("doc_id", "at", "w.hash", "w.values")
-    matched = made.join(F.broadcast(held.drop("size")) if rows <= BROADCAST_ROWS else held.drop("size"), "hash")
+    matched = made.join(F.broadcast(held) if rows <= BROADCAST_ROWS else held, "hash")
     matched = matched.select("doc_id", "item_id", "n_windows", "key", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("slots"))
     matched = base.Scratch(docs.sparkSession, "decontaminate").keep(matched, "matched")  # read twice below
     for used in (items, held):
@@ -114,13 +127,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
         .groupBy(*occurrence, F.col("slot.a").alias("a")).agg(F.min("slot.b").alias("least"), F.max("slot.b").alias("most"))
         .groupBy(*occurrence).agg(F.max(F.col("least") != F.col("most")).alias("torn"), F.max((F.col("least") != F.col("a")) | (F.col("most") != F.col("a"))).alias("changed"))
     )
-    return (
-        matched.select(*occurrence, "n_windows", "key").distinct().join(slots, occurrence, "left")
-        .filter(~F.coalesce("torn", F.lit(False)))
+    found = (
+        matched.groupBy(*occurrence, "n_windows", "key").agg(F.max(F.col("slots").isNull()).alias("literal")).join(slots, occurrence, "left")
+        .filter(F.col("literal") | ~F.coalesce("torn", F.lit(False)))
         .groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("key").alias("n_matched"), (~F.max(F.coalesce("changed", F.lit(False)))).alias("same_values"))
         .filter(100 * F.col("n_matched") >= covered * F.col("n_windows"))
         .select("doc_id", "item_id", "n_matched", "n_windows", "same_values")
     )
+    lines = _whole_lines(docs, benchmark)
+    one = F.lit(1).cast("long")
+    return found if lines is None else found.unionByName(lines.select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), F.lit(True).alias("same_values")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED) -> DataFrame:

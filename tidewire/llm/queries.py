@@ -127,9 +127,9 @@ win AS (
   FROM typed WINDOW w AS (PARTITION BY doc, id ORDER BY place)),
 keyed AS (
   SELECT id, doc, place, list_filter(vs, lambda x: x IS NOT NULL) AS vs, 'c' || replace(array_to_string(vs, ' '), chr(2), '') AS literal,
-    CASE WHEN 2 * len(list_filter(cs, lambda x: x[1] = '<')) > least(n, {size}) THEN 'v' || array_to_string(vs, ' ') ELSE 'c' || array_to_string(cs, ' ') END AS key,
+    CASE WHEN 2 * len(list_filter(cs, lambda x: x[1] = '<')) > {size} THEN 'v' || array_to_string(vs, ' ') ELSE 'c' || array_to_string(cs, ' ') END AS key,
     len(list_filter(cs, lambda x: x[1] = '<')) > 0 AS slotted
-  FROM win WHERE place + {size} <= n OR (n < {size} AND place = 0)),
+  FROM win WHERE place + {size} <= n),
 typed_items AS (SELECT id AS item_id, key, key AS hash, min(place) AS item_at, arg_min(vs, place) AS item_vs, bool_or(slotted) AS slotted FROM keyed WHERE NOT doc GROUP BY ALL),
 items AS (SELECT * FROM typed_items UNION ALL SELECT id, key, literal, min(place), NULL, false FROM keyed WHERE NOT doc AND slotted GROUP BY id, key, literal),
 totals AS (SELECT item_id, count(*) AS n_windows FROM typed_items GROUP BY item_id),
@@ -140,11 +140,17 @@ matched AS (
 pairs AS (SELECT doc_id, item_id, diagonal, unnest(item_vs) AS a, unnest(vs) AS b FROM matched WHERE slotted),
 slots AS (
   SELECT doc_id, item_id, diagonal, bool_or(least <> most) AS torn, bool_or(least <> a OR most <> a) AS changed
-  FROM (SELECT doc_id, item_id, diagonal, a, min(b) AS least, max(b) AS most FROM pairs GROUP BY ALL) GROUP BY ALL)
+  FROM (SELECT doc_id, item_id, diagonal, a, min(b) AS least, max(b) AS most FROM pairs GROUP BY ALL) GROUP BY ALL),
+lines AS (
+  SELECT id, doc, regexp_extract_all(lower(unnest(CASE WHEN doc THEN list_append(string_split(text, chr(10)), text) ELSE [text] END)), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS t
+  FROM texts WHERE text IS NOT NULL),
+few AS (SELECT DISTINCT id, doc, array_to_string(t, ' ') AS line FROM lines WHERE len(t) BETWEEN 1 AND {size} - 1)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id, 1::BIGINT AS n_matched, 1::BIGINT AS n_windows, true AS same_values FROM few d JOIN few i ON d.line = i.line AND d.doc AND NOT i.doc
+UNION ALL
 SELECT m.doc_id, m.item_id, count(DISTINCT m.key) AS n_matched, t.n_windows, NOT bool_or(coalesce(s.changed, false)) AS same_values
 FROM matched m JOIN totals t ON m.item_id = t.item_id
 LEFT JOIN slots s ON m.doc_id = s.doc_id AND m.item_id = s.item_id AND m.diagonal = s.diagonal
-WHERE NOT coalesce(s.torn, false)
+WHERE NOT coalesce(s.torn, false) OR NOT m.slotted
 GROUP BY m.doc_id, m.item_id, t.n_windows
 HAVING 100 * count(DISTINCT m.key) >= {decontaminate.COVERED} * t.n_windows
 """
