@@ -1,6 +1,7 @@
 """Corpus operators do all steps on all rows."""
 
 import collections
+import random
 
 from tidewire.llm import chat, decontaminate, queries
 
@@ -31,3 +32,29 @@ def test_copies_in_other_case_are_found(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_matched == r.n_windows, r.same_values) for r in decontaminate.contaminated(rows, bench).collect()}
     assert got == {(i, 1 + (i > 2)): (True, True) for i in range(5)}
+
+
+def test_conversations_equal_brute_force_in_bounded_parts(spark):
+    """Ties, repeated rows and turns, nulls, and turns beyond one block, against an order made from the links of each message."""
+    rng = random.Random(30)
+    rows = [(c, t, rng.choice(["user", None]), (f"> Words {rng.randrange(t)} of {c}.\n" if t and rng.random() < 0.6 else "") + f"Words {t} of {c}.") for c in range(3) for t in [*range(40), *range(250, 270)]]
+    rows += [(1, 5, "user", f"copy {i % 300}") for i in range(900)] + [(None, 3, "user", f"lost {i}") for i in range(50)] + [(2, None, "user", None)] * 20
+    d = spark.createDataFrame(rows, MESSAGES).repartition(5)
+    got = collections.defaultdict(list)
+    for r in chat.conversations(d).collect():
+        assert len(r.messages) <= chat.BLOCK
+        if r.conv_id is None or r.part.turn is None:
+            assert len(r.messages) == 1
+        got[r.conv_id].append((r.part, [(m.role, m.content) for m in r.messages]))
+    links = collections.defaultdict(list)
+    for r in chat.replies(d).collect():
+        links[r.conv_id].append(r)
+    none = lambda x: (x is not None, x)  # noqa: E731  nulls come first
+    for conv, parts in got.items():
+        have = [m for part, messages in sorted((p for p in parts if p[0].turn is not None), key=lambda p: p[0]) for m in messages]
+        known = [r for r in links[conv] if conv is not None and r.turn is not None]
+        known.sort(key=lambda r: (r.thread_root // 256, r.turn // 256, r.thread_root, r.turn, none(r.role), none(r.content)))
+        assert have == [(r.role, r.content) for r in known]
+        rest = sorted((m for part, messages in parts if part.turn is None for m in messages), key=repr)
+        assert rest == sorted(((r.role, r.content) for r in links[conv] if conv is None or r.turn is None), key=repr)
+    assert sum(len(m) for parts in got.values() for _, m in parts) == len(rows)

@@ -10,8 +10,8 @@ message its thread root and depth.
 
 The reply order of a conversation is (block of the root turn, block of the turn, root, turn), with
 ``BLOCK`` turns in a block: threads stay together and a message comes after what it replies to.
-``conversations`` puts out one row for each pair of blocks, so no row gathers more than BLOCK messages
-of distinct turns however long the conversation is.
+``conversations`` puts out one row for each pair of blocks, or more where repeated turns fill it beyond BLOCK messages, so no row gathers
+more than BLOCK messages however long the conversation is or however often a turn is repeated.
 
 Hot groups: the latest earlier holder of a sentence is looked up within a block of turns, and over blocks by
 one row for each block, so a sentence or conversation with very many turns is dealt over tasks.
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
 from . import base
 
 BLOCK = 256
@@ -141,11 +142,25 @@ def replies(messages: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, part and messages: (role, content) in reply order, in parts of bounded size; parts sort by part."""
+    """conv_id, part and messages: (role, content) in reply order, in parts of at most BLOCK messages; parts sort by part. A message without conv_id or turn is a part of its own."""
+    work = base.Scratch(messages.sparkSession, "conversations")
+    rows = work.keep(replies(messages), "replies")
     part = F.struct(F.floor(F.col("thread_root") / BLOCK).alias("root"), F.floor(F.col("turn") / BLOCK).alias("turn"))
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    keyed = rows.filter(known).withColumn("part", part)
+    # Repeated turns can fill a pair of blocks beyond BLOCK; those are sorted by ranges and cut by their places.
+    large = work.keep(keyed.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).drop("n"), "large")
+    cut = keyed.join(large, ["conv_id", "part"], "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        order = ["conv_id", "part", "thread_root", "turn", "role", "content", "tie"]
+        sorted_ = placed(keyed.join(large, ["conv_id", "part"], "left_semi").withColumn("tie", F.uuid()), *order).drop("tie")
+        first = sorted_.groupBy("conv_id", "part").agg(F.min("place").alias("first"))
+        cut = cut.unionByName(sorted_.join(first, ["conv_id", "part"]).withColumn("sub", F.floor((F.col("place") - F.col("first")) / BLOCK)).drop("place", "first"))
     each = F.struct("thread_root", "turn", "role", "content")
-    return (
-        replies(messages).groupBy("conv_id", part.alias("part"))
-        .agg(F.sort_array(F.collect_list(each)).alias("all"))
-        .select("conv_id", "part", F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    said = lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))
+    whole = lambda root, turn, sub: F.struct(root.alias("root"), turn.alias("turn"), sub.alias("sub")).alias("part")
+    none = F.lit(None).cast("long")
+    gathered = cut.groupBy("conv_id", "part", "sub").agg(F.sort_array(F.collect_list(each)).alias("all"))
+    return gathered.select("conv_id", whole(F.col("part.root"), F.col("part.turn"), F.col("sub")), F.transform("all", said).alias("messages")).unionByName(
+        rows.filter(~known).select("conv_id", whole(none, none, none), F.array(F.struct("role", "content")).alias("messages"))
     )
