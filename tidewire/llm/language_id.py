@@ -28,15 +28,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
 #: Bytes of a word that are read at once, words of a block, cells of a forward table.
 LONG, BLOCK, CELLS = 48, 8192, 4_000_000
-#: Longer words, in bytes, teach nothing (they are predicted whole).
-LONGEST_TAUGHT = 1024
+#: Places of words whose pieces are looked up at once in teaching.
+SEGMENT = 256
 #: Runs of letters and of other numerals; those with other numerals are split once more.
 _RUNS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -177,34 +177,48 @@ def _blocks(words: list[bytes], most: int, cells: int, width: int | None = None)
         yield block
 
 
+def _segments(vocabulary: Vocabulary, codes: np.ndarray, lengths: np.ndarray, backwards: bool = False):
+    """The lattice of words of any length, some places at a time."""
+    starts = range(0, codes.shape[1], SEGMENT)
+    for at in reversed(starts) if backwards else starts:
+        part = vocabulary.lattice(codes[:, at : at + SEGMENT + vocabulary.longest], np.clip(lengths - at, 0, SEGMENT + vocabulary.longest), SEGMENT)
+        for start, size, rows, ids in reversed(part) if backwards else part:
+            yield at + start, size, rows, ids
+
+
+def expected(vocabulary: Vocabulary, codes: np.ndarray, lengths: np.ndarray, n: np.ndarray, p: np.ndarray | None) -> np.ndarray:
+    """How often each piece is used in words that occur n times, over all their segmentations by p; without p, how often it fits."""
+    seen = np.zeros(vocabulary.size)
+    if p is None:
+        for _, _, rows, ids in _segments(vocabulary, codes, lengths):
+            seen += np.bincount(ids, n[rows], vocabulary.size)
+        return seen
+    logs, here = np.log(p), np.arange(len(lengths))
+    a = np.full((int(lengths.max(initial=0)) + 1, len(lengths)), -np.inf)
+    b = a.copy()
+    a[0], b[lengths, here] = 0, 0
+    short = list(_segments(vocabulary, codes, lengths)) if codes.shape[1] <= SEGMENT else None
+    for start, size, rows, ids in short or _segments(vocabulary, codes, lengths):
+        a[start + size][rows] = np.logaddexp(a[start + size][rows], a[start][rows] + logs[ids])
+    whole = a[lengths, here]
+    for start, size, rows, ids in reversed(short) if short else _segments(vocabulary, codes, lengths, True):
+        ending = b[start + size][rows] + logs[ids]
+        b[start][rows] = np.logaddexp(b[start][rows], ending)
+        seen += np.bincount(ids, n[rows] * np.exp(a[start][rows] + ending - whole[rows]), vocabulary.size)
+    return seen
+
+
 def learn(vocabulary: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = 3, floor: float = 1e-7) -> np.ndarray:
-    """Piece probabilities (pieces, languages) from word counts of each language; sums are kept as logarithms."""
+    """Piece probabilities (pieces, languages) from word counts of each language, words of any length; sums are kept as logarithms."""
     out = np.zeros((vocabulary.size, len(counts)))
     for k, words in enumerate(counts.values()):
-        taught = [(data, n) for data, n in ((_encoded(w), n) for w, n in words.items()) if len(data) <= LONGEST_TAUGHT]
-        blocks = []
-        for at in _blocks([w for w, _ in taught], BLOCK, CELLS):
-            codes, lengths = _codes([taught[i][0] for i in at])
-            blocks.append((vocabulary.lattice(codes, lengths), lengths, np.array([taught[i][1] for i in at], float)))
-        seen = np.zeros(vocabulary.size)
-        for lattice, _, n in blocks:
-            for _, _, rows, ids in lattice:
-                seen += np.bincount(ids, n[rows], vocabulary.size)
-        p = seen / max(1.0, seen.sum()) + floor
-        for _ in range(rounds):
-            logs, seen = np.log(p), np.zeros(vocabulary.size)
-            for lattice, lengths, n in blocks:
-                here = np.arange(len(lengths))
-                a = np.full((int(lengths.max(initial=0)) + 1, len(lengths)), -np.inf)
-                b = a.copy()
-                a[0], b[lengths, here] = 0, 0
-                for start, size, rows, ids in lattice:
-                    a[start + size][rows] = np.logaddexp(a[start + size][rows], a[start][rows] + logs[ids])
-                for start, size, rows, ids in reversed(lattice):
-                    b[start][rows] = np.logaddexp(b[start][rows], b[start + size][rows] + logs[ids])
-                whole = a[lengths, here]
-                for start, size, rows, ids in lattice:
-                    seen += np.bincount(ids, n[rows] * np.exp(a[start][rows] + logs[ids] + b[start + size][rows] - whole[rows]), vocabulary.size)
+        taught, n = [_encoded(w) for w in words], np.array(list(words.values()), float)
+        blocks = list(_blocks(taught, BLOCK, CELLS))
+        p = None
+        for _ in range(rounds + 1):
+            seen = np.zeros(vocabulary.size)
+            for at in blocks:
+                seen += expected(vocabulary, *_codes([taught[i] for i in at]), n[at], p)
             p = seen / max(1.0, seen.sum()) + floor
         out[:, k] = p / p.sum()
     return out
@@ -301,11 +315,11 @@ class Model:
         return total
 
 
-def train(docs: DataFrame, path: str, max_docs: int = 4000, max_words: int = 60_000, held_out_mod: int = 3, held_out_rest: int = 1, rounds: int = 3):
+def train(docs: DataFrame, path: str, max_docs: int = 4000, held_out_mod: int = 3, held_out_rest: int = 1, rounds: int = 3):
     """(languages, piece probabilities, priors) from labelled documents outside the held-out fold.
 
     The sample is about max_docs documents, shared evenly by the languages (20 documents each at least), those of smallest
-    hashed id; of its words each language teaches with the most frequent, at most max_words over all languages.
+    hashed id. All words of the sample teach.
     """
     spark = docs.sparkSession
     base.python_ready(spark)
@@ -329,10 +343,8 @@ def train(docs: DataFrame, path: str, max_docs: int = 4000, max_words: int = 60_
     sample = labelled.join(totals, "lang").filter(place * F.col("rows") < each_docs)
     words = sample.select("doc_id", "lang", F.explode(words_of("text")).alias("word")).groupBy("lang", "word").agg(F.count_distinct("doc_id").alias("n"))
     words = work.keep(words, "words")
-    each = max_words // max(1, len(languages))
-    top = words.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("place") <= each)
     counts: dict[str, dict[str, int]] = {k: {} for k in languages}
-    for row in top.select("lang", "word", "n").orderBy("lang", F.desc("n"), "word").toArrow().to_pylist():
+    for row in words.select("lang", "word", "n").orderBy("lang", F.desc("n"), "word").toArrow().to_pylist():
         counts[row["lang"]][row["word"]] = row["n"]
     work.drop("totals", "words")
     p = learn(load_vocabulary(path), counts, rounds)
