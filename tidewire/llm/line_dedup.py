@@ -64,6 +64,8 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, work: base.Scratch, fanout: int = 3):
         self.spark, self.work, self.fanout = spark, work, fanout
+        # A run has one sorted file for each bucket; with this, its scan says so, and merges don't sort it again.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
         self._made = 0
