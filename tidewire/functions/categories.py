@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import held, keyword, let, listed, read
+from .terms import held, let, listed, read
 from .vocabulary import HINTS, TAGS
 
 #: The standard categories and those for which one hint is enough, fixed values.
@@ -38,5 +38,3 @@ def classify(title: Column, text: Column, hints: dict[str, list[str]] | None, so
     out = F.array_sort(F.array_distinct(F.concat(*found)))
     return F.when(F.size(out) == 0, F.array(F.lit("world"))).otherwise(out)
 
-
-__all__ = ["EASY", "STANDARD", "classify", "keyword"]

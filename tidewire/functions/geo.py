@@ -56,6 +56,48 @@ def inside(lat: Column, lon: Column, shape: dict) -> Column:
     return F.lit(False)
 
 
+def parts_of(shape: dict) -> list[dict]:
+    """The circles and polygons of a shape as rows: lat, lon and km of a circle, the edges of a polygon's rings (level ones never cross)."""
+    kind = (shape or {}).get("type")
+    if kind == "Feature":
+        return parts_of(shape["geometry"])
+    if kind in ("FeatureCollection", "GeometryCollection"):
+        return [p for part in shape.get("features") or shape.get("geometries") or [] for p in parts_of(part)]
+    if kind == "Circle":
+        y, x = shape.get("center") or shape["coordinates"]
+        return [{"lat": float(y), "lon": float(x), "km": float(shape["radius_km"]), "rings": []}]
+    polygons = [shape["coordinates"]] if kind == "Polygon" else shape["coordinates"] if kind == "MultiPolygon" else []
+    edges = lambda ring: [{"x1": float(a[0]), "y1": float(a[1]), "x2": float(b[0]), "y2": float(b[1])} for a, b in zip(ring, [*ring[1:], ring[0]]) if a[1] != b[1]]
+    return [{"lat": None, "lon": None, "km": None, "rings": [edges(r) for r in rings]} for rings in polygons]
+
+
+def in_edges(lat: Column, lon: Column, edges: Column) -> Column:
+    """As ``in_ring``, over a column of edges."""
+    crosses = lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e).cast("int")) % 2 == 1
+
+
+def in_parts(lat: Column, lon: Column, parts: Column) -> Column:
+    """Whether a point is in one of the parts that ``parts_of`` gives."""
+
+    def one(p: Column) -> Column:
+        outer = F.coalesce(in_edges(lat, lon, F.get(p["rings"], F.lit(0))), F.lit(False))
+        holes = F.filter(p["rings"], lambda r, i: (i > 0) & in_edges(lat, lon, r))
+        return F.when(p["km"].isNotNull(), haversine(lat, lon, p["lat"], p["lon"]) <= p["km"]).otherwise(outer & (F.size(holes) == 0))
+
+    return F.coalesce(F.exists(parts, one), F.lit(False))
+
+
+def places_in_parts(parts: Column, centroids: dict[str, tuple[float, float]]) -> Column:
+    """As ``places_inside``, over a column of parts."""
+    any_place = F.coalesce(F.exists("places", lambda p: in_parts(p["lat"], p["lon"], parts)), F.lit(False))
+    if not centroids:
+        return any_place
+    points = F.create_map(*[x for k, (y, z) in centroids.items() for x in (F.lit(k), F.struct(F.lit(float(y)).alias("lat"), F.lit(float(z)).alias("lon")))])
+    at = F.element_at(points, F.col("country"))
+    return F.when(F.coalesce(F.size("places"), F.lit(0)) <= 0, in_parts(at["lat"], at["lon"], parts)).otherwise(any_place)
+
+
 def points_of(shape: dict) -> list:
     """All (lon, lat) of a shape's rings."""
     kind = (shape or {}).get("type")

@@ -123,7 +123,11 @@ def predicate(c: Criteria, columns: list[str], now: datetime, centroids: dict |
     if c.scopes:
         parts.append(F.coalesce(F.col("scope").isin(*c.scopes), F.lit(False)))
     if c.platforms:
-        parts.append(F.coalesce(F.nullif("platform", F.lit("")), F.lit("news")).isin(*c.platforms))
+        # A source without a platform is news; a row without a source is of none.
+        sourced = F.lit(False)
+        for name in ("platform", "name", "scope"):
+            sourced = sourced | F.col(name).isNotNull() if name in columns else sourced
+        parts.append(sourced & F.coalesce(F.nullif("platform", F.lit("")), F.lit("news")).isin(*c.platforms))
     if c.languages:
         parts.append(F.col("language").isin(*c.languages))
     if c.countries:

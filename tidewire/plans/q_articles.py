@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import categories, lang, scoring, similarity
 from ..operators import coverage
 from ..sources import adapters as A
+from ..sources import gazetteer
 
 #: A dictionary from the test data's own words; real dictionaries are a parameter of the functions.
 BREAKING = {"ndtion": 10, "esat": 7, "enes": 14, "ated": 5}
 HINTS = {"politics": ["ndtion", "of the"], "disaster": ["esat"], "sports": ["enes", "ated"]}
 
 
+#: Places whose names are words of the test texts; real gazetteers are read from a file.
+PLACES = [
+    {"name": "Ndtion", "country": "US", "lat": 40.0, "lon": -100.0, "aliases": [], "kind": "country"},
+    {"name": "Esat", "country": "FR", "lat": 48.8, "lon": 2.3, "aliases": ["enes"], "kind": "city"},
+    {"name": "Ated", "country": "DE", "lat": 52.5, "lon": 13.4, "aliases": [], "kind": "city"},
+]
+
+
 def _text():
     return F.concat_ws("\n", "title", "summary")
 
 
 def breaking(spark, sf_dir):
-    return A.articles(spark, sf_dir).select("id", scoring.breaking_signal(_text(), BREAKING, portable=True).alias("signal"))
+    return A.articles(spark, sf_dir).select("id", scoring.breaking_signal(_text(), BREAKING).alias("signal"))
 
 
 def categorised(spark, sf_dir):
+    """Categories of the whole text, as once the body is there."""
     empty = F.array().cast("array<string>")
-    return A.articles(spark, sf_dir).select("id", F.array_join(categories.classify(F.col("title"), F.col("summary"), HINTS, empty, portable=True), ",").alias("categories"))
+    return A.articles(spark, sf_dir).select("id", F.array_join(categories.classify(F.col("title"), F.concat_ws("\n", "summary", "content"), HINTS, empty), ",").alias("categories"))
 
 
 def lang_detect(spark, sf_dir):
@@ -33,8 +43,9 @@ def lang_detect(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    """Articles of title words only, as anchors need a lookbehind that the oracle lacks."""
-    return A.articles(spark, sf_dir).withColumn("tokens", similarity.cluster_tokens(F.col("title")))
+    """Articles with the words of their titles, and the numbers and cities of title and summary."""
+    a = gazetteer.with_places(A.articles(spark, sf_dir).withColumn("text", _text()), PLACES)
+    return a.withColumn("tokens", similarity.cluster_tokens(F.col("title"), F.col("text"), F.col("places"))).drop("text", "places")
 
 
 def cluster_tokens(spark, sf_dir):
@@ -52,7 +63,7 @@ def corroboration(spark, sf_dir):
 
 def importance_score(spark, sf_dir):
     a = A.articles(spark, sf_dir).join(A.sources(spark, sf_dir), "source_id", "left")
-    found = scoring.importance(F.col("scope"), F.col("tier"), scoring.breaking_signal(_text(), BREAKING, portable=True), (F.col("id") % 3).cast("int"), (F.col("id") % 5).cast("int"))
+    found = scoring.importance(F.col("scope"), F.col("tier"), scoring.breaking_signal(_text(), BREAKING), (F.col("id") % 3).cast("int"), (F.col("id") % 5).cast("int"))
     return a.select("id", found.cast("int").alias("score"), scoring.tier_label(found).alias("label"))
 
 
@@ -156,12 +167,16 @@ def _has(text: str, term: str) -> str:
 _TEXT = "concat_ws(chr(10), title, summary)"
 _SIGNAL = "least(30, " + " + ".join(f"CASE WHEN {_has(_TEXT, t)} THEN {w} ELSE 0 END" for t, w in BREAKING.items()) + ")"
 _POINTS = {
-    k: " + ".join(f"CASE WHEN {_has('title', t2)} THEN 2 WHEN {_has('summary', t2)} THEN 1 ELSE 0 END" for t in v for t2 in [t.replace(" ", r"\s+")])
+    k: " + ".join(f"CASE WHEN {_has('title', t2)} THEN 2 WHEN {_has('concat_ws(chr(10), summary, content)', t2)} THEN 1 ELSE 0 END" for t in v for t2 in [t.replace(" ", r"\s+")])
     for k, v in HINTS.items()
 }
 _STOP = ", ".join(f"'{w}'" for w in similarity.STOP_WORDS)
+# Runs of five digits or more are no numbers of interest; matched whole, they hide none.
+_NUMBERS = f"list_filter(regexp_extract_all({_TEXT}, '[0-9]{{5,}}|[0-9]{{1,4}}[.,][0-9]+|[0-9]{{1,4}}'), lambda x: NOT regexp_full_match(x, '[0-9]{{5,}}'))[1:8]"
+_ANCHORS = f"list_filter(list_transform({_NUMBERS}, lambda x: replace(x, ',', '.')), lambda x: contains(x, '.') OR length(x) BETWEEN 2 AND 3)"
+_CITIES = " || ".join(f"CASE WHEN {' OR '.join(_has(_TEXT, n.lower()) for n in (p['name'], *p['aliases']))} THEN ['{p['name'].lower()}'] ELSE [] END" for p in PLACES if p["kind"] == "city")
 _TOKENS = f"""toks AS (
-  SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))))[1:15] AS tokens FROM articles)"""
+  SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) || {_ANCHORS} || {_CITIES}))[1:15] AS tokens FROM articles)"""
 _SIM = "greatest(shared / (n + m - shared), shared / least(n, m))"
 _DECAY = f"""aged AS (
   SELECT id, event_id, base, (CASE WHEN age - 6 <= 0 OR base <= floor_ THEN base

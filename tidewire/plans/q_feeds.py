@@ -27,7 +27,7 @@ def feed_rows(spark, sf_dir):
     a, k = A.articles(spark, sf_dir), F.col("id")
     tail = F.element_at(F.array(*map(F.lit, (" Read more here", " The post X appeared first on Y.", " Share this: a b", ""))), (k % 4 + 1).cast("int"))
     e = a.select(
-        "source_id", F.concat(F.lit("<b>"), F.when(k % 11 == 0, "").otherwise(F.col("title")), F.lit("</b>")).alias("title"), F.concat(F.lit("<p>&nbsp;"), F.substring("summary", 1, 60), F.lit("</p>"), tail).alias("summary"),
+        "source_id", F.concat(F.lit("<b>"), F.when(k % 11 == 0, "").otherwise(F.col("title")), F.lit("</b>")).alias("title"), F.concat(F.lit("<p>&nbsp;"), F.col("summary"), F.lit("</p>"), tail).alias("summary"),
         F.when(k % 7 == 0, F.concat(F.lit("ftp://x/"), k.cast("string"))).otherwise(F.col("url")).alias("link"), F.when(k % 3 == 0, k.cast("string")).alias("guid"), "published_at", k.alias("arrival"),
     )
     return ops.entries_to_articles(e)
@@ -45,7 +45,7 @@ def crit_translations(spark, sf_dir):
     a = A.articles(spark, sf_dir)
     t = a.filter("id % 5 = 0").select(F.col("id").alias("article_id"), F.lit("xx").alias("lang"), F.lit("einhorn").alias("title"), F.lit("").alias("summary"))
     full = ops.with_translations(a, t)
-    c = Criteria(keywords=("einhorn",), search_translations=True, passing_mentions=True, portable=True, min_importance=20)
+    c = Criteria(keywords=("einhorn",), search_translations=True, passing_mentions=True, min_importance=20)
     return full.filter(predicate(c, full.columns, NOW)).select("id")
 
 
@@ -112,7 +112,7 @@ _RING = f"""r AS (SELECT location_id, hazard_id, round({C._HAVERSINE.format(a='l
 SQL = {
     "feed_rows": f"""{A.with_sql('articles')},
 e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n, {_stripped("'<b>' || CASE WHEN id % 11 = 0 THEN '' ELSE title END || '</b>'")} AS t,
-  '<p>&nbsp;' || substr(summary, 1, 60) || '</p>' || [' Read more here', ' The post X appeared first on Y.', ' Share this: a b', ''][id % 4 + 1] AS s FROM articles)
+  '<p>&nbsp;' || summary || '</p>' || [' Read more here', ' The post X appeared first on Y.', ' Share this: a b', ''][id % 4 + 1] AS s FROM articles)
 SELECT source_id, url, t AS title, substr({_cleaned(_stripped('s'))}, 1, 2000) AS summary, CASE WHEN id % 3 = 0 THEN id::VARCHAR ELSE url END AS guid, published_at, id AS arrival FROM e WHERE n <= 80 AND id % 7 <> 0 AND t <> ''""",
     "translated_texts": """SELECT doc_id // 3 AS article_id, string_agg('title ' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'sum' ELSE '' END, chr(10) ORDER BY encode(lang || doc_id % 3)) AS translated
 FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1""",

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import air, geo
+from ..operators import geofence, ops
 from ..operators import hazards as H
+from ..operators.lineage import shared_folder
 from ..sources import adapters as A
+from ..sources import paged, store
 
 POLYGON = {"type": "Polygon", "coordinates": [[[-60, -40], [70, -30], [50, 55], [-50, 45], [-60, -40]], [[-10, -10], [10, -10], [10, 10], [-10, 10], [-10, -10]]]}
+#: Corners of fences, in radii around their middle.
+OUTER = ((-1.0, -0.5), (0.0, -1.0), (1.0, -0.3), (0.5, 1.0), (-0.5, 0.5), (-0.75, 0.25))
+HOLE = ((-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2))
 CIRCLE = {"type": "Circle", "center": [20.0, 10.0], "radius_km": 3000.0}
 
 
@@ -102,8 +110,67 @@ def watch_boxes(spark, sf_dir):
     return H.watch_boxes(A.stations(spark, sf_dir).withColumnRenamed("station_id", "location_id"), cell=30.0, most=40)
 
 
+def fences(spark, sf_dir):
+    """A fence for each part: a six-sided polygon by its key, every third with a hole, some across the date line or up to a pole."""
+    k = F.col("p_partkey")
+    x, y, r = (k * 53 % 3600) / F.lit(10.0) - 180, (k * 37 % 1700) / F.lit(10.0) - 85, F.lit(0.5) + (k % 23) * F.lit(0.75)
+    ring = lambda *points: F.array(*[F.struct((x + a * r).alias("x"), (y + b * r).alias("y")) for a, b in points])
+    rings = F.when(k % 3 == 0, F.array(ring(*OUTER), ring(*HOLE))).otherwise(F.array(ring(*OUTER)))
+    return A.table(spark, sf_dir, "part").select(k.alias("fence_id"), F.array(rings).alias("polygons"))
+
+
+def geofence_join(spark, sf_dir):
+    """All fences by all hazards."""
+    return geofence.join(_hazards(spark, sf_dir).select("hazard_id", "lat", "lon"), fences(spark, sf_dir)).select("fence_id", "hazard_id")
+
+
+def _store(spark):
+    return store.Snapshots(spark, f"{shared_folder(spark).rstrip('/')}/tidewire-store-{uuid.uuid4().hex}")
+
+
+def stored_hazards(spark, sf_dir):
+    """The stored table after a poll that is handed in twice."""
+    kept, (stored, polled) = _store(spark), _polls(spark, sf_dir)
+    kept.create("hazards", stored, ["provider", "external_id"])
+    for _ in range(2):
+        store.merge_hazards(kept, polled, A.now(), stream="polls", batch_id=0)
+    return kept.read("hazards").select("provider", "external_id", "severity", "first_seen_at", "last_seen_at", F.lit(kept.manifest()["version"]).cast("int").alias("version"))
+
+
+def stored_cascade(spark, sf_dir):
+    """Four tables after the articles past retention went with all that points at them, in one commit."""
+    kept, a = _store(spark), A.articles(spark, sf_dir).select("id", "published_at", "title")
+    hits = a.filter("id % 3 = 0").select((F.col("id") % 5).alias("alert_id"), F.col("id").alias("article_id"))
+    seen = a.filter("id % 2 = 0").select((F.col("id") % 7).alias("user_id"), F.col("id").alias("article_id"))
+    texts = a.filter("id % 4 = 1").select(F.col("id").alias("article_id"), F.lit("xx").alias("lang"), "title")
+    for name, rows, key in (("articles", a, ["id"]), ("hits", hits, ["alert_id", "article_id"]), ("seen", seen, ["user_id", "article_id"]), ("translations", texts, ["article_id", "lang"])):
+        kept.create(name, rows, key)
+    gone = ops.doomed(kept.read("articles"), A.now(), days=20, most=None)
+    store.delete_articles(kept, gone, {"articles": "id", "hits": "article_id", "seen": "article_id", "translations": "article_id"})
+    out = None
+    for name, column in (("articles", "id"), ("hits", "article_id"), ("seen", "article_id"), ("translations", "article_id")):
+        rows = kept.read(name).select(F.lit(name).alias("name"), F.col(column).alias("article_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def paged_stations(spark, sf_dir):
+    """Stations by way of recorded pages; the poll of one provider lacks a page and gives none."""
+    path = f"{shared_folder(spark).rstrip('/')}/tidewire-pages-{uuid.uuid4().hex}"
+    s = A.stations(spark, sf_dir).withColumn("poll", F.lit("0001"))
+    body = F.to_json(F.struct("station_id", "lat", "lon", "aqi"))
+    paged.register(spark)
+    paged.record(s.filter("provider <> 'purpleair'").select("provider", "poll", body.alias("body")), path, size=9)
+    # Of this provider only the first of two pages was kept.
+    torn = s.filter("provider = 'purpleair'").groupBy("provider", "poll").agg(F.to_json(F.struct(F.lit(1).alias("page"), F.lit(2).alias("pages"), F.array(F.min("station_id")).alias("results"))).alias("value"))
+    torn.select("provider", "poll", "value").write.mode("append").partitionBy("provider", "poll").text(path)
+    found = spark.read.format("tw-pages").load(path)
+    row = F.from_json("body", "station_id long, lat double, lon double, aqi int")
+    return found.select("provider", row.alias("r")).select("provider", "r.station_id", "r.lat", "r.lon", "r.aqi")
+
+
 QUERIES = {f.__name__: f for f in (
-    geofence_circle, geofence_polygon, nearest_vertex, hazard_bbox, fire_ring, fire_ring_again, air_reading, station_worst, aqi_from_conc, severities,
+    stored_hazards, stored_cascade, paged_stations, geofence_join, geofence_circle, geofence_polygon, nearest_vertex, hazard_bbox, fire_ring, fire_ring_again, air_reading, station_worst, aqi_from_conc, severities,
     provider_cap, hazard_merge, hazard_counters, hazard_prune, watch_boxes,
 )}
 
@@ -149,6 +216,14 @@ def _aqi() -> str:
 
 
 SQL = {
+    "geofence_join": f"""{A.with_sql('hazards')},
+f AS (SELECT p_partkey AS k, (p_partkey * 53 % 3600) / 10 - 180 AS x, (p_partkey * 37 % 1700) / 10 - 85 AS y, 0.5::DOUBLE + (p_partkey % 23) * 0.75::DOUBLE AS r FROM part),
+e AS ({" UNION ALL ".join(f"SELECT k, {hole} AS hole, x + {a}::DOUBLE * r AS x1, y + {b}::DOUBLE * r AS y1, x + {c}::DOUBLE * r AS x2, y + {d}::DOUBLE * r AS y2 FROM f WHERE {hole} = 0 OR k % 3 = 0" for hole, side in enumerate((OUTER, HOLE)) for (a, b), (c, d) in zip(side, (*side[1:], side[0])))}),
+m AS (SELECT *, max(x1) OVER (PARTITION BY k) > 180 AS east, min(x1) OVER (PARTITION BY k) < -180 AS west FROM e),
+s AS (SELECT k, hole, x1, y1, x2, y2 FROM m UNION ALL SELECT k, hole, x1 - 360, y1, x2 - 360, y2 FROM m WHERE east UNION ALL SELECT k, hole, x1 + 360, y1, x2 + 360, y2 FROM m WHERE west),
+c AS (
+  SELECT k, hazard_id, hole, count(*) AS n FROM s JOIN hazards h ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL)
+SELECT k AS fence_id, hazard_id FROM c GROUP BY ALL HAVING coalesce(max(n) FILTER (WHERE hole = 0), 0) % 2 = 1 AND coalesce(max(n) FILTER (WHERE hole = 1), 0) % 2 = 0""",
     "geofence_circle": f"{A.with_sql('hazards')} SELECT hazard_id FROM hazards WHERE {_km('lat', 'lon', '20.0::DOUBLE', '10.0::DOUBLE')} <= 3000.0",
     "geofence_polygon": f"{A.with_sql('hazards')} SELECT hazard_id FROM hazards WHERE {_INSIDE}",
     "nearest_vertex": f"{A.with_sql('locations')} SELECT location_id, round(CASE WHEN {_INSIDE} THEN 0.0::DOUBLE ELSE least({', '.join(_km('lat', 'lon', f'{float(y)}::DOUBLE', f'{float(x)}::DOUBLE') for x, y in _POINTS)}) END, 3) AS km FROM locations",
@@ -198,3 +273,9 @@ m AS (SELECT coalesce(p.provider, s.provider) AS provider, coalesce(p.external_i
   FROM s FULL JOIN p ON s.provider = p.provider AND s.external_id = p.external_id)"""
 SQL["hazard_merge"] = f"{_MERGED} SELECT * FROM m"
 SQL["hazard_counters"] = f"{_MERGED} SELECT count(*) FILTER (WHERE status <> 'kept') AS seen, count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE escalated) AS escalated FROM m"
+SQL["stored_hazards"] = f"{_MERGED} SELECT provider, external_id, severity, first_seen_at, last_seen_at, 2 AS version FROM m"
+SQL["stored_cascade"] = f"""{A.with_sql('articles')},
+k AS (SELECT id FROM articles WHERE NOT coalesce(published_at < TIMESTAMP '{A.NOW}' - INTERVAL 20 DAY, false))
+SELECT 'articles' AS name, id AS article_id FROM k UNION ALL SELECT 'hits', id FROM k WHERE id % 3 = 0
+UNION ALL SELECT 'seen', id FROM k WHERE id % 2 = 0 UNION ALL SELECT 'translations', id FROM k WHERE id % 4 = 1"""
+SQL["paged_stations"] = f"{A.with_sql('stations')} SELECT provider, station_id, lat, lon, aqi FROM stations WHERE provider <> 'purpleair'"

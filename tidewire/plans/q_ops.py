@@ -145,13 +145,40 @@ def alert_hits(spark, sf_dir):
     from ..streaming.alerts import evaluate
     from .q_search import NOW
 
-    alerts = {1: Criteria(keywords=("ndtion",), passing_mentions=True, portable=True), 2: Criteria(query="esat NOT the", passing_mentions=True, portable=True), 3: Criteria(languages=("de",), min_importance=60, portable=True)}
+    alerts = {1: Criteria(keywords=("ndtion",), passing_mentions=True), 2: Criteria(query="esat NOT the", passing_mentions=True), 3: Criteria(languages=("de",), min_importance=60)}
     return evaluate(A.articles(spark, sf_dir).join(A.sources(spark, sf_dir), "source_id", "left"), alerts, NOW).select("alert_id", "id")
 
 
+def alert_table(articles):
+    """An alert for each article that has three words of five letters, made of them: a keyword, alternatives, an exclusion, or no text at all."""
+    found = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "content")), F.lit("[a-z]{5,}"), F.lit(0))
+    w = articles.withColumn("w", F.array_distinct(found)).filter("size(w) >= 3").withColumn("n", F.size("w"))
+    at = lambda part: F.get("w", F.floor(F.col("n") * part).cast("int"))
+    a, b, c = at(0.0), at(0.4), at(0.8)
+    kind, array = F.col("id") % 4, lambda on, *v: F.when(on, F.array(*v))
+    criteria = F.struct(
+        array(kind == 0, a).alias("keywords"), array(kind == 0, F.col("language")).alias("languages"),
+        F.when(kind == 1, F.concat(a, F.lit(" AND ("), b, F.lit(" OR "), c, F.lit(")"))).when(kind == 2, F.concat(b, F.lit(" NOT "), c)).alias("query"),
+        array(kind == 3, F.col("source_id")).alias("source_ids"), array(kind == 3, F.col("country")).alias("countries"),
+        F.when(kind == 2, 30).when(kind == 3, 90).alias("min_importance"), F.lit(True).alias("passing_mentions"),
+    )
+    return w.select(F.col("id").alias("alert_id"), F.to_json(criteria).alias("criteria"))
+
+
+def alerts_many(spark, sf_dir):
+    """As many alerts as articles, looked up by their words."""
+    from ..streaming.alerts import evaluate
+    from . import percolate
+    from .q_search import NOW
+
+    articles = A.articles(spark, sf_dir)
+    programs = percolate.compiled(alert_table(articles))
+    return evaluate(articles.join(A.sources(spark, sf_dir), "source_id", "left"), programs, NOW).select("alert_id", "id")
+
+
 QUERIES = {f.__name__: f for f in (
     dash_stats, reach, backlog, unseen_counts, group_counts, silent_sources, producing_sources, orphan_events, new_urls, domain_rating, growth, feed_kind,
-    coverage_matrix, biweeks, citations_by_host, retention_keep, due_sources, known_domains, explain_hits, term_times, html_text, summaries, languages, host_fan_out, alert_hits,
+    coverage_matrix, biweeks, citations_by_host, retention_keep, due_sources, known_domains, explain_hits, term_times, html_text, summaries, languages, host_fan_out, alert_hits, alerts_many,
 )}
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '^www\.', '')"
@@ -213,6 +240,19 @@ SELECT id, term, times FROM (SELECT id, unnest(['ndtion', 'esat']) AS term, unne
     "summaries": "SELECT page_id, length(trim(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '))) AS n, regexp_matches(lower(url), '^https?://') AS http FROM pages",
     "languages": f"{A.with_sql('articles')} SELECT DISTINCT language FROM articles",
     "host_fan_out": f"{A.with_sql('articles', 'sources')} SELECT host, count(*) AS n FROM articles JOIN sources USING (source_id) GROUP BY host",
+    "alerts_many": rf"""{A.with_sql('articles')},
+told AS (
+  SELECT *, list_distinct(regexp_extract_all(lower({_ALL}), '[\p{{L}}\p{{N}}_]+')) AS held,
+    list_filter(l, lambda x, i: list_position(l, x) = i) AS w
+  FROM (SELECT *, regexp_extract_all(lower(concat_ws(chr(10), title, content)), '[a-z]{{5,}}') AS l FROM articles)),
+alerts AS (
+  SELECT id AS alert_id, id % 4 AS kind, w[1] AS a, w[floor(0.4 * len(w))::INT + 1] AS b, w[floor(0.8 * len(w))::INT + 1] AS c, language, source_id, country
+  FROM told WHERE len(w) >= 3)
+SELECT alert_id, t.id FROM alerts x JOIN told t ON CASE kind
+  WHEN 0 THEN list_contains(held, a) AND t.language = x.language
+  WHEN 1 THEN list_contains(held, a) AND (list_contains(held, b) OR list_contains(held, c))
+  WHEN 2 THEN list_contains(held, b) AND NOT list_contains(held, c) AND t.importance >= 30
+  ELSE t.source_id = x.source_id AND t.country = x.country AND t.importance >= 90 END""",
     "alert_hits": f"""{A.with_sql('articles')}
 SELECT 1 AS alert_id, id FROM articles WHERE regexp_matches({_ALL}, '{_RE.format("ndtion").replace("{{", "{").replace("}}", "}")}')
 UNION ALL SELECT 2, id FROM articles WHERE regexp_matches({_ALL}, '{_RE.format("esat").replace("{{", "{").replace("}}", "}")}') AND NOT regexp_matches({_ALL}, '{_RE.format("the").replace("{{", "{").replace("}}", "}")}')

@@ -14,7 +14,7 @@ COLUMNS = ["id", "title", "importance", "published_at"]
 
 
 def _search(sort: str = "newest", limit: int = 40, **criteria):
-    c = Criteria(portable=True, **criteria)
+    c = Criteria(**criteria)
 
     def run(spark, sf_dir):
         return search(A.articles(spark, sf_dir), A.sources(spark, sf_dir), c, NOW, sort, limit).select(*COLUMNS)
@@ -24,7 +24,7 @@ def _search(sort: str = "newest", limit: int = 40, **criteria):
 
 def _all(columns=("id",), **criteria):
     """Every match, unordered."""
-    c = Criteria(portable=True, **criteria)
+    c = Criteria(**criteria)
 
     def run(spark, sf_dir):
         found = A.articles(spark, sf_dir).join(A.sources(spark, sf_dir), "source_id", "left")
@@ -74,7 +74,7 @@ def export_rows(spark, sf_dir):
     """The rows of an export: cleaned cells, newest first, 2000 at most."""
     from ..sources.sinks import export_rows as rows
 
-    c = Criteria(portable=True, languages=("fr",))
+    c = Criteria(languages=("fr",))
     return rows(search(A.articles(spark, sf_dir), A.sources(spark, sf_dir), c, NOW, "newest", 2000))
 
 
@@ -90,7 +90,7 @@ QUERIES = {
     "kw_importance": _search("importance", keywords=("ndtion",), passing_mentions=True),
     "kw_two": _search(keywords=("ndtion", "esat"), passing_mentions=True),
     "kw_exclude": _search(keywords=("the",), exclude_keywords=("ndtion", "on the"), passing_mentions=True),
-    "kw_hours": _search(keywords=("the",), hours=100, passing_mentions=True),
+    "kw_hours": _search(keywords=("the",), hours=200, passing_mentions=True),
     "bql_and_or_not": _all(query="(ndtion OR esat) AND the NOT enes", passing_mentions=True),
     "bql_phrase": _all(query='"of the" AND "in the"', passing_mentions=True),
     "bql_wildcard": _all(query="ndti* AND est?", passing_mentions=True),
@@ -122,7 +122,7 @@ SQL = {
     "kw_importance": _sql(_has(ALL, _N), tail="ORDER BY importance DESC, published_at DESC, id DESC LIMIT 40"),
     "kw_two": _sql(f"({_has(ALL, _N)} OR {_has(ALL, _E)})"),
     "kw_exclude": _sql(f"{_has(ALL, _re('the'))} AND NOT {_has(ALL, _N)} AND NOT {_has(ALL, _re('on[ \\t\\n\\r\\f\\v]+the'))}"),
-    "kw_hours": _sql(f"{_has(ALL, _re('the'))} AND published_at >= TIMESTAMP '{A.NOW}' - to_hours(100)"),
+    "kw_hours": _sql(f"{_has(ALL, _re('the'))} AND published_at >= TIMESTAMP '{A.NOW}' - to_hours(200)"),
     "bql_and_or_not": _every(f"({_has(ALL, _N)} OR {_has(ALL, _E)}) AND {_has(ALL, _re('the'))} AND NOT {_has(ALL, _re('enes'))}"),
     "bql_phrase": _every(f"{_has(ALL, _re('of\\s+the'))} AND {_has(ALL, _re('in\\s+the'))}"),
     "bql_wildcard": _every(f"{_has(ALL, '(?i)(?:^|[^\\p{L}\\p{N}_])ndti[\\p{L}\\p{N}_]*')} AND {_has(ALL, '(?i)(?:^|[^\\p{L}\\p{N}_])est[\\p{L}\\p{N}_]')}"),

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article table, adapted once an application, as a news store would hold it."""
-    return made_once(spark, ("articles", sf_dir), lambda: adapted_articles(spark, sf_dir))
+    return made_once(spark, ("articles", sf_dir), lambda: adapted_articles(spark, sf_dir), f"{sf_dir}/documents.parquet")
 
 
 def adapted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def adapted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of all articles."""
-    return made_once(spark, ("sources", sf_dir), lambda: adapted_sources(spark, sf_dir))
+    return made_once(spark, ("sources", sf_dir), lambda: adapted_sources(spark, sf_dir), f"{sf_dir}/documents.parquet")
 
 
 def adapted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def adapted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored events of the articles, restated from their members."""
-    return made_once(spark, ("events", sf_dir), lambda: adapted_events(spark, sf_dir))
+    return made_once(spark, ("events", sf_dir), lambda: adapted_events(spark, sf_dir), f"{sf_dir}/documents.parquet")
 
 
 def adapted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
