@@ -36,16 +36,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import base, rans
+from .bpe_count import _byte_characters
 
-FILE_IDS, BLOCK_IDS, SLICE = 1 << 23, 1 << 18, 1 << 20
-KEPT_CHUNKS, KEPT_CHARS = 700_000, 64
+FILE_IDS, BLOCK_IDS, SIDE_BY_SIDE, SLICE = 1 << 22, 1 << 18, 4, 1 << 20
+KEPT_CHUNKS, KEPT_HEADS, KEPT_CHARS = 800_000, 100_000, 64
 _MAGIC = b"TWIDS\x00\x00\x01"
 #: Bytes and CRC-32 of the table.
 _TABLE = struct.Struct("<II")
 #: Ids, documents, checkpoints, words, place of the first document's first id and of the first id (from the first id of the range), CRC-32 of what follows.
 _BLOCK = struct.Struct("<IIIIQQI")
 _MANIFEST = "part int, file string, offset long, length long, first long, n_ids long, n_docs long"
-_CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?=\s|$)")
+_CUT = re.compile(r" (?=\S)")
+
+
+#: The character that stands for each byte in a byte-level vocabulary; line ends part words here.
+_SHOWN = {b: c for b, c in enumerate(_byte_characters()) if b != 10}
+
+
+def _letters(text: str) -> bool:
+    """Whether a text is one run of letters; letters of later additions to Unicode are left to the library."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
 
 
 class Tokens:
@@ -53,45 +63,87 @@ class Tokens:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
+        # The same model for words that are cut and written as characters of its vocabulary already.
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         vocabulary = self.library.get_vocab(True)
         # Each character of an id's string stands for one byte, but for special ones, which are written as they are.
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for word, i in vocabulary.items():
             self.bytes[i] = len(word.encode()) if word in special else len(word)
+        self.marks = {m: self._plain([m])[0].tobytes() for m in ",.;:!?"}
+        #: Chunks met lately, and those of the time before.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk with a space before it."""
-        if not chunks:
-            return {}
-        ids = self._plain([" " + " ".join(chunks)])[0]
-        ends = np.cumsum([1 + len(c.encode()) for c in chunks])
+    def _keep(self, chunks: list[str], ids: np.ndarray) -> None:
+        """Keep the ids of each chunk with a space before it, given those of all of them in a row."""
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks)) + 1)
         sizes = np.cumsum(self.bytes[ids])
         at = np.searchsorted(sizes, ends)
         if not (sizes[at] == ends).all():
             raise ValueError("ids don't end where a chunk ends")
-        data, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-        return {c: data[i:j] for c, i, j in zip(chunks, at, at[1:])}
+        at = np.concatenate([[0], 4 * (at + 1)]).tolist()
+        self.kept.update(zip(chunks, map(ids.tobytes().__getitem__, map(slice, at, at[1:]))))
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Keep the ids of each chunk with a space before it: letters are one word of the pattern, a mark after them is one more."""
+        words, marked, other = set(), [], []
+        for c in chunks:
+            if _letters(c):
+                words.add(c)
+            elif c[-1] in self.marks and _letters(c[:-1]):
+                marked.append(c)
+            else:
+                other.append(c)
+        for word in {c[:-1] for c in marked}.difference(self.kept):
+            if (ids := self.older.get(word)) is not None:
+                self.kept[word] = ids
+            else:
+                words.add(word)
+        if words:
+            words = list(words)
+            shown = (" " + "\n ".join(words)).encode().decode("latin-1").translate(_SHOWN)
+            self._keep(words, np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4"))
+        if other:
+            self._keep(other, self._plain([" " + " ".join(other)])[0])
+        self.kept.update((c, self.kept[c[:-1]] + self.marks[c[-1]]) for c in marked)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-        heads = self._plain([c[0] for c in cut])
         if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        fresh = set().union(*(c[1:] for c in cut))
-        found = self._learn([c for c in fresh if c not in self.kept])
-        long = {c: ids for c, ids in found.items() if len(c) > KEPT_CHARS}
-        self.kept.update(found)
-        out = [h.tobytes() + b"".join(map(self.kept.__getitem__, c[1:])) for h, c in zip(heads, cut)]
-        for c in long:
-            del self.kept[c]
+            self.older, self.kept = self.kept, {}
+        kept, cut = self.kept, [t.split(" ") for t in texts]
+        heads = [c.pop(0) for c in cut]
+        fresh = set().union(*cut).difference(kept)
+        # A space before another white space begins no word, so those texts are cut anew. Such chunks are never kept.
+        if odd := {c for c in fresh if not c or c[0].isspace()}:
+            for k, text in enumerate(texts):
+                if not odd.isdisjoint(cut[k]):
+                    heads[k], *cut[k] = _CUT.split(text)
+            fresh = set().union(*cut).difference(kept)
+        again = self.older.keys() & fresh
+        kept.update(zip(again, map(self.older.__getitem__, again)))
+        fresh -= again
+        if fresh:
+            self._learn(fresh)
+        if len(self.heads) > KEPT_HEADS:
+            self.heads.clear()
+        begun = list(set(heads).difference(self.heads))
+        self.heads.update(zip(begun, (ids.tobytes() for ids in self._plain(begun))))
+        out = [self.heads[head] + b"".join(map(kept.__getitem__, c)) for head, c in zip(heads, cut)]
+        for head in [h for h in begun if len(h) > KEPT_CHARS]:
+            del self.heads[head]
+        for chunk in [c for c in fresh if len(c) > KEPT_CHARS]:
+            del kept[chunk]
         return out
 
 
@@ -160,12 +212,16 @@ class _File:
         packed = zlib.compress(np.concatenate([np.diff(table.symbols, prepend=0), table.scaled]).astype("<u4").tobytes(), 6)
         out.write(_MAGIC + _TABLE.pack(len(packed), zlib.crc32(packed)) + packed)
         offset = len(_MAGIC) + _TABLE.size + len(packed)
-        for at in range(0, self.n, block_ids):
-            part = ids[at : at + block_ids]
+        whole = self.n // block_ids * block_ids
+        # Blocks of one size are coded some at a time.
+        rows = [ids[:whole].reshape(-1, block_ids)[k : k + SIDE_BY_SIDE] for k in range(0, whole // block_ids, SIDE_BY_SIDE)]
+        rows += [ids[whole:].reshape(1, -1)] if whole < self.n else []
+        at = 0
+        for coded in (c for r in rows for c in zip(r, rans.encode(r, table))):
+            part, (states, places, words) = coded
             lo, hi = int(np.searchsorted(begins, at, "right")) - 1, int(np.searchsorted(begins, at + len(part)))
             docs, froms = self.docs[lo:hi], np.maximum(begins[lo:hi] - at, 0)
             doc_start = self.doc_start if lo == 0 else self.first + int(begins[lo])
-            states, places, words = rans.encode(part, table)
             body = b"".join([
                 np.array([d if d is not None else 0 for d in docs], dtype="<i8").tobytes(), np.array([d is None for d in docs], dtype="u1").tobytes(),
                 froms.astype("<u4").tobytes(), states.astype("<u8").tobytes(), places.tobytes(), words.tobytes(),
@@ -173,7 +229,7 @@ class _File:
             head = _BLOCK.pack(len(part), len(docs), len(states), len(words), doc_start, self.first + at, zlib.crc32(body))
             out.write(head + body)
             yield offset, len(head) + len(body), self.first + at, len(part), len(docs)
-            offset += len(head) + len(body)
+            offset, at = offset + len(head) + len(body), at + len(part)
 
 
 def _writer(root: str, tokenizer: str, end: int, file_ids: int, block_ids: int):
@@ -276,10 +332,11 @@ def _read(root: str, file: str, offset: int, length: int, low: int = 0, high: in
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
-    """Blocks over all cores: the manifest itself is a small table."""
+    """Blocks over all cores, those of a file together where they can be, as they share its table; the manifest itself is a small table."""
     spark = blocks.sparkSession
     base.python_ready(spark)
-    return blocks.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartitionByRange(n, "file", "offset")
 
 
 def crc_joined(left: int, right: int, size: int) -> int:
