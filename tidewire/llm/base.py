@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from contextlib import contextmanager
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import spread
+from ..operators.lineage import shared_folder, spread
 from ..runtime import ship
 
 #: White space of a word boundary, as characters and as a Java/RE2 character class.
@@ -35,11 +32,6 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % n
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidewire-")
-
-
 _TRACKED: list[list["Scratch"]] = []
 
 
@@ -63,12 +55,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tables = spark, {}
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = _own_folder()
-        self.root = f"{root.rstrip('/')}/tidewire-{tag}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/tidewire-{tag}-{uuid.uuid4().hex}"
         for opened in _TRACKED[-1:]:
             opened.append(self)
 
