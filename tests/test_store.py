@@ -2,12 +2,13 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.sources import feeds, paged, store
+from tidewire.streaming import ingest
 
 NOW = datetime(2024, 1, 31)
 
@@ -103,6 +104,17 @@ def test_hazards_are_merged_in_a_stream(spark, tmp_path):
     assert rows(kept.read("hazards").select("external_id", "severity")) == [(0, 10), (1, 60)] and kept.manifest()["version"] == 3
 
 
+def test_a_link_is_seen_once_for_good(spark, tmp_path):
+    """After 60 days, in one batch, and in a batch that is run again."""
+    links = store.Snapshots(spark, str(tmp_path / "s"), buckets=8)
+    links.create("links", spark.createDataFrame([], "link string, batch long"), ["link"])
+    batch = lambda *urls: spark.createDataFrame([(u, NOW + timedelta(days=60 * i)) for i, u in enumerate(urls)], "link string, published_at timestamp_ntz")
+    got = lambda urls, n: sorted(r.link for r in ingest.unseen_links(batch(*urls), links, "s", n).collect())
+    assert got(["http://a", "http://b", "http://a", "ftp://c", None], 0) == ["http://a", "http://b"]
+    assert got(["http://b", "http://d"], 1) == ["http://d"] and got(["http://b", "http://d"], 1) == ["http://d"]
+    assert got(["http://a"], 2) == [] and links.read("links").count() == 3
+
+
 # Pages
 
 

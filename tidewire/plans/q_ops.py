@@ -176,9 +176,24 @@ def alerts_many(spark, sf_dir):
     return evaluate(articles.join(A.sources(spark, sf_dir), "source_id", "left"), programs, NOW).select("alert_id", "id")
 
 
+def source_fates(spark, sf_dir):
+    """Sources after a poll: failures, idle polls and what becomes of them."""
+    from ..sources.feeds import next_state
+
+    n = F.col("source_id")
+    state = next_state(n % 7, n % 5, n % 3 != 0, n % 4, n % 2 == 0, F.when(n % 6 == 0, "user").otherwise("scan"))
+    return A.sources(spark, sf_dir).withColumn("s", state).select("source_id", F.col("s.failures").alias("failures"), F.col("s.idle").alias("idle"), F.col("s.fate").alias("fate"))
+
+
+def translation_retries(spark, sf_dir):
+    """When failed translations are tried again."""
+    attempts = (F.col("id") % 5 + 1).cast("int")
+    return A.articles(spark, sf_dir).select("id", ops.retry_at(F.col("published_at"), attempts).alias("again"))
+
+
 QUERIES = {f.__name__: f for f in (
     dash_stats, reach, backlog, unseen_counts, group_counts, silent_sources, producing_sources, orphan_events, new_urls, domain_rating, growth, feed_kind,
-    coverage_matrix, biweeks, citations_by_host, retention_keep, due_sources, known_domains, explain_hits, term_times, html_text, summaries, languages, host_fan_out, alert_hits, alerts_many,
+    coverage_matrix, biweeks, citations_by_host, retention_keep, due_sources, known_domains, explain_hits, term_times, html_text, summaries, languages, host_fan_out, alert_hits, alerts_many, source_fates, translation_retries,
 )}
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '^www\.', '')"
@@ -240,6 +255,12 @@ SELECT id, term, times FROM (SELECT id, unnest(['ndtion', 'esat']) AS term, unne
     "summaries": "SELECT page_id, length(trim(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '))) AS n, regexp_matches(lower(url), '^https?://') AS http FROM pages",
     "languages": f"{A.with_sql('articles')} SELECT DISTINCT language FROM articles",
     "host_fan_out": f"{A.with_sql('articles', 'sources')} SELECT host, count(*) AS n FROM articles JOIN sources USING (source_id) GROUP BY host",
+    "source_fates": f"""{A.with_sql('sources')},
+s AS (SELECT source_id, source_id % 3 <> 0 AS ok, CASE WHEN source_id % 3 <> 0 THEN 0 ELSE source_id % 7 + 1 END AS failures FROM sources)
+SELECT source_id, failures, CASE WHEN ok AND source_id % 4 > 0 THEN 0 WHEN ok THEN source_id % 5 + 1 ELSE source_id % 5 END AS idle,
+  CASE WHEN failures < 5 THEN 'keep' WHEN source_id % 2 <> 0 AND source_id % 6 <> 0 THEN 'remove' ELSE 'disable' END AS fate FROM s""",
+    "translation_retries": f"""{A.with_sql('articles')}
+SELECT id, CASE WHEN id % 5 + 1 < 4 THEN published_at + to_seconds((300 * pow(2, id % 5))::BIGINT) END AS again FROM articles""",
     "alerts_many": rf"""{A.with_sql('articles')},
 told AS (
   SELECT *, list_distinct(regexp_extract_all(lower({_ALL}), '[\p{{L}}\p{{N}}_]+')) AS held,

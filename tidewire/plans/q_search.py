@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 from ..sources import adapters as A
+from . import recent
 from .criteria import Criteria, predicate, search
 
 NOW = datetime.fromisoformat(A.NOW)
@@ -85,8 +88,18 @@ def hosts(spark, sf_dir):
     return pages.select("page_id", host_of(F.col("url")).alias("host"))
 
 
+def kw_recent(spark, sf_dir):
+    """The search of kw_newest over a store of days: it stops at the day that fills the limit."""
+    path = f"{shared_folder(spark).rstrip('/')}/tidewire-days-{uuid.uuid4().hex}"
+    recent.write_days(A.articles(spark, sf_dir), path)
+    found, _ = recent.search_newest(spark, path, A.sources(spark, sf_dir), Criteria(**NEWEST), NOW, 40)
+    return found.select(*COLUMNS)
+
+
+NEWEST = {"keywords": ("ndtion",), "passing_mentions": True, "languages": ("en",), "min_importance": 20, "date_from": "2024-01-03", "date_to": "2024-01-28"}
 QUERIES = {
-    "kw_newest": _search(keywords=("ndtion",), passing_mentions=True, languages=("en",), min_importance=20, date_from="2024-01-03", date_to="2024-01-28"),
+    "kw_recent": kw_recent,
+    "kw_newest": _search(**NEWEST),
     "kw_importance": _search("importance", keywords=("ndtion",), passing_mentions=True),
     "kw_two": _search(keywords=("ndtion", "esat"), passing_mentions=True),
     "kw_exclude": _search(keywords=("the",), exclude_keywords=("ndtion", "on the"), passing_mentions=True),
@@ -149,3 +162,4 @@ SELECT id, regexp_replace(title, '[\\x00-\\x09\\x0b-\\x1f]', '', 'g') AS title,
 FROM articles LEFT JOIN sources USING (source_id) WHERE language = 'fr' ORDER BY published_at DESC, articles.id DESC LIMIT 2000""",
     "page_hosts": r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '^www\.', '') AS host FROM pages",
 }
+SQL["kw_recent"] = SQL["kw_newest"]

@@ -14,6 +14,7 @@ from ..operators.coverage import corroboration
 from ..operators.hazards import within
 from ..operators.ops import entries_to_articles, is_http
 from ..runtime import ship
+from ..sources.store import Change, Snapshots
 
 ENTRY = "source_id int, title string, summary string, link string, guid string, published_at timestamp, arrival long"
 
@@ -93,26 +94,54 @@ def ring_steps(fires: DataFrame, locations: DataFrame) -> DataFrame:
     return steps(found.select("location_id", "hazard_id", "severity", bucket, "seen"), ("location_id", "hazard_id"))
 
 
-def corroborated(stream: DataFrame, store: str, write, checkpoint: str, hours: int = 12):
+def corroborated(stream: DataFrame, store: str, write, checkpoint: str, hours: int = 12, keep_hours: int | None = None):
     """Each micro-batch of articles (id, source_id, published_at, tokens) with its corroborating newsrooms, given to write(found, batch_id).
 
-    The headlines are kept in the folder store, one part for each batch, so a batch looks in all earlier ones and itself; only those
-    of the last hours are read. A batch that is run again replaces its own part.
+    The headlines are kept in the folder store by cells of time and batch, so a batch looks in all earlier ones and itself, and lists and reads
+    only the cells that its own articles can see. A batch that is run again replaces its own parts. With keep_hours, cells that are older than that
+    behind the newest one are deleted; articles that come later than that find less.
     """
+    window = hours * 3600
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark, slim = rows.sparkSession, rows.select("id", "source_id", "published_at", "tokens")
-        slim.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        since = slim.agg(F.min("published_at")).first()[0]
-        if since is None:
+        cell = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / window)
+        parts = slim.filter("published_at IS NOT NULL").withColumns({"cell": cell, "batch": F.lit(batch_id)})
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell", "batch").parquet(store)
+        first, last = parts.agg(F.min("cell"), F.max("cell")).first()
+        if first is None:
             return
-        held = spark.read.schema(slim.schema.add("batch", "long")).parquet(store)
-        held = held.filter((F.col("batch") <= batch_id) & (F.col("published_at") >= F.lit(since) - F.make_dt_interval(hours=F.lit(hours))))
-        write(corroboration(held.filter(F.col("batch") == batch_id).drop("batch"), hours=hours, earlier=held.drop("batch")), batch_id)
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        cells = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(at) if f.getPath().getName().startswith("cell=")]
+        near = [f"{store}/cell={c}" for c in cells if first - 1 <= c <= last]
+        held = spark.read.schema(slim.schema.add("cell", "long").add("batch", "long")).option("basePath", store).parquet(*near).filter(F.col("batch") <= batch_id)
+        write(corroboration(slim, hours=hours, earlier=held.drop("cell", "batch")), batch_id)
+        for c in cells:
+            if keep_hours is not None and c < max(cells) - -(-keep_hours // hours):
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/cell={c}"), True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def unseen_links(rows: DataFrame, links: Snapshots, stream: str, batch_id: int) -> DataFrame:
+    """The rows of a batch whose link no earlier batch had, however long ago, each link once.
+
+    links has a table ``links`` (link, batch) with key link, dealt into buckets: only those that the batch's links fall into are read and written. The batch is
+    named in the commit, so a batch that is run again gets the rows it got before.
+    """
+    once = rows.filter(is_http(F.col("link"))).dropDuplicates(["link"])
+    new = once.select("link", F.lit(batch_id).cast("long").alias("batch"))
+    links.commit({"links": Change(new, lambda old: old.unionByName(new.join(old, "link", "left_anti")))}, stream, batch_id)
+    mine = links.read("links").filter(F.col("batch") == batch_id).select("link")
+    return once.join(mine, "link", "left_semi")
+
+
+def deduplicated_for_good(stream: DataFrame, links: Snapshots, write, checkpoint: str, name: str = "entries"):
+    """Each link once over all batches, given to write(rows, batch_id)."""
+    return stream.writeStream.foreachBatch(lambda rows, batch_id: write(unseen_links(rows, links, name, batch_id), batch_id)).option("checkpointLocation", checkpoint)
+
+
 def ramped(full: int, since_start_s: float, first: int = 10, ramp_s: float = 300.0) -> int:
     """How many sources a trigger takes: a few at the start, all after the ramp, in proportion between."""
     share = min(1.0, max(0.0, since_start_s) / ramp_s)
