@@ -39,7 +39,7 @@ from . import base, rans
 from .bpe_count import _byte_characters
 
 FILE_IDS, BLOCK_IDS, SIDE_BY_SIDE, SLICE = 1 << 22, 1 << 18, 4, 1 << 20
-KEPT_CHUNKS, KEPT_HEADS, KEPT_CHARS = 800_000, 100_000, 64
+KEPT_CHUNKS, KEPT_HEADS, KEPT_CHARS = 350_000, 100_000, 64
 _MAGIC = b"TWIDS\x00\x00\x01"
 #: Bytes and CRC-32 of the table.
 _TABLE = struct.Struct("<II")
