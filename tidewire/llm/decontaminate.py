@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from . import base
 
 WINDOW, COVERED, BROADCAST_ROWS = 8, 50, 200_000
@@ -66,8 +67,8 @@ def _windows(size: int) -> Column:
     return F.when(F.col("slotted"), F.transform(places, window)).otherwise(F.transform(places, plain))
 
 
-def windows(texts: DataFrame, key: str) -> DataFrame:
-    """key and one row for each window of WINDOW tokens."""
+def windows(texts: DataFrame, key: str, asked: bool = False) -> DataFrame:
+    """key and one row for each window of WINDOW tokens; asked: (hash, at, values) instead, one row for each hash that the window is looked up by."""
     digit = lambda w: F.ascii(w).between(48, 57)
     marked = texts.select(key, _marked(F.col("text")).alias("marked"))
     # Without a number or a name there is no slot, so the canonical tokens are the literal ones.
@@ -79,6 +80,15 @@ def windows(texts: DataFrame, key: str) -> DataFrame:
 
     bare = F.transform("tokens", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME_MARK))))
     hashed = tokens.withColumns({"c": F.when(F.col("slotted"), F.transform("tokens", canonical)), "u": F.when(F.col("slotted"), bare)}).drop("tokens")
+    if asked:
+        # Without slots there is one hash for each window, and with few of them a second one for few.
+        places = F.sequence(F.lit(0), F.size("v") - WINDOW)
+        unslotted = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(WINDOW), *[F.get("v", i + k) for k in range(WINDOW)]).alias("hash"), i.alias("at"), F.lit(None).cast("array<bigint>").alias("values")))
+        first = lambda w: F.struct(w["key"].alias("hash"), w["at"].alias("at"), w["values"].alias("values"))
+        second = lambda w: F.struct(w["literal"].alias("hash"), w["at"].alias("at"), F.lit(None).cast("array<bigint>").alias("values"))
+        slotted = terms.let(_windows(WINDOW), lambda all_: F.concat(F.transform(all_, first), F.transform(F.filter(all_, lambda w: w["literal"].isNotNull()), second)))
+        made = F.when(F.size("v") < WINDOW, F.array().cast("array<struct<hash:bigint,at:int,values:array<bigint>>>")).when(F.col("slotted"), slotted).otherwise(unslotted)
+        return hashed.select(key, made.alias("made")).select(key, F.explode_outer("made").alias("w")).filter(F.col("w").isNotNull()).select(key, "w.hash", "w.at", "w.values")
     none = F.array().cast("array<struct<key:bigint,literal:bigint,at:int,values:array<bigint>>>")
     made = F.when(F.size("v") >= WINDOW, _windows(WINDOW)).otherwise(none)
     # The outer form keeps the optimiser from making the windows once more in a filter below.
@@ -110,11 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
     totals = typed.groupBy("item_id").agg(F.count_distinct("key").alias("n_windows"))
     held = typed.unionByName(literal, allowMissingColumns=True).join(totals, "item_id").persist()
     rows = held.count()
-    made = windows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id")
     # A window with slots also meets the items by its letters and numbers alone, where no slot speaks.
-    alone = F.array(F.struct(F.col("key").alias("hash"), F.col("values")))
-    both = F.array(F.struct(F.col("key").alias("hash"), F.col("values")), F.struct(F.col("literal").alias("hash"), F.lit(None).cast("array<bigint>").alias("values")))
-    made = made.select("doc_id", "at", F.explode(F.when(F.col("literal").isNull(), alone).otherwise(both)).alias("w")).select("doc_id", "at", "w.hash", "w.values")
+    made = windows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id", asked=True)
     matched = made.join(F.broadcast(held) if rows <= BROADCAST_ROWS else held, "hash")
     matched = matched.select("doc_id", "item_id", "n_windows", "key", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("slots"))
     matched = base.Scratch(docs.sparkSession, "decontaminate").keep(matched, "matched")  # read twice below
