@@ -238,6 +238,61 @@ def test_chunks_and_slices_equal_the_library(library):
             assert "".join(pieces) == text and b"".join(tokens.many(pieces)) == ids
 
 
+class Given:
+    """A tokenizer that counts the characters it gets."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.n += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_each_word_once(library, monkeypatch):
+    path, lib = library
+    tokens, rng = token_files.Tokens(path), random.Random(17)
+    tokens.library, tokens.words = Given(tokens.library), Given(tokens.words)
+    words = ["".join(rng.choices("abcdefghiéßñжσ", k=9)) for _ in range(500)]
+    after = ["", ",", "$$$", "***", ").", " |", " 1999", "\n\n"]
+    texts = [" ".join(rng.choice(words) + rng.choice([*after, "-" + rng.choice(words), ".\n" + rng.choice(words)]) for _ in range(500)) for _ in range(60)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokens.many(texts) == want
+    # Each word with and without a space before it, its bytes written as characters, with a line end after it.
+    most = 2.1 * sum(len(w.encode()) + 2 for w in words)
+    assert tokens.library.n + tokens.words.n < most
+    assert tokens.many(texts) == want and tokens.library.n + tokens.words.n < most
+    monkeypatch.setattr(token_files, "KEPT", 100)
+    for k in range(0, 60, 10):
+        assert tokens.many(texts[k : k + 10]) == want[k : k + 10] and len(tokens.kept) <= 100
+
+
+def test_pieces_of_any_characters_equal_the_library(library):
+    path, lib = library
+    tokens, rng = token_files.Tokens(path), random.Random(18)
+    some = ["a", " ", " ", "\n", "5", "'", "s", "!", "<", "|", "<|endoftext|>", "×", "÷", "ÿ", "ȿ", "ɀ", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u205f", "\u3000", "の", "\ufeff", "½"]
+    for _ in range(40):
+        other = [chr(rng.choice([*range(1, 0x700), *range(0x1000, 0xD800), *range(0xE000, 0x11000)])) for _ in range(20)]
+        texts = ["".join(rng.choice(rng.choice([some, other])) for _ in range(rng.randrange(25))) for _ in range(100)]
+        assert tokens.cuts and tokens.many(texts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_a_file_whose_added_tokens_can_be_cut_gets_whole_texts(library, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for k, token in enumerate([AddedToken("two words"), AddedToken("[mark]", lstrip=True), AddedToken("<x1>"), AddedToken("abc")]):
+        lib = Tokenizer.from_file(library[0])
+        lib.add_tokens([token])
+        lib.save(str(tmp_path / f"{k}.json"))
+        texts = ["two words and  [mark] <x1> abcabc, \n\n[mark]", "", "abc"]
+        tokens = token_files.Tokens(str(tmp_path / f"{k}.json"))
+        assert not tokens.cuts and tokens.many(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    # Slices of a long text don't part a token either.
+    lib, text = Tokenizer.from_file(str(tmp_path / "0.json")), "x" * 4 + "two words " * 105_000
+    ids = np.concatenate([ids for _, ids in token_files._encoded([text], token_files.Tokens(str(tmp_path / "0.json")), 0)])
+    assert len(text) > token_files.SLICE and ids.tolist() == [*lib.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_coded_blocks_decode_from_any_checkpoint():
     rng = np.random.default_rng(15)
     for n, kinds in ((1, 1), (255, 9), (256, 2), (257, 50_000), (32_768, 1), (32_769, 4), (100_000, 50_257)):

@@ -9,11 +9,12 @@ match stops the job. Files have names of their own for every attempt, and only t
 manifest (a Parquet table with a row for each block), so a task that runs again does no harm.
 
 ``documents``, ``parts`` and ``ids_between`` read the files back, each block by whichever task it is dealt to. What a task holds is bounded
-by the ids of a file, an Arrow batch and the library's own needs for ``SLICE`` characters.
+by the ids of a file, an Arrow batch and some ten times the bytes of ``GROUP`` characters.
 
-The library encodes each distinct chunk of a text once per worker: a space before a character that isn't white
-space always begins a new word of the byte-level pattern, so a text is cut there and the ids of its chunks are put
-together. Chunks not seen before go to the library as one text, and are told apart by the lengths of their ids' strings.
+The library encodes each distinct piece once in some ``GROUP`` characters of texts: where two bytes in a row tell that a word of
+the byte-level pattern begins (a space before a letter, a mark after a letter), texts are cut, and Arrow finds the distinct pieces and puts
+their ids together. Pieces that are one word go to the library in one text, and are told apart by the lengths of their ids' strings. A worker
+keeps the ids of the ``KEPT`` pieces that it met most often lately, as Arrow arrays.
 
 Nulls: a null or empty text has the end id alone; a null doc_id comes before all others. Rows with equal doc_id
 are documents of their own, in the order of a hash of their texts. Empty tables write no file and read as empty
@@ -22,6 +23,7 @@ results. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -39,23 +41,32 @@ from . import base, rans
 from .bpe_count import _byte_characters
 
 FILE_IDS, BLOCK_IDS, SIDE_BY_SIDE, SLICE = 1 << 22, 1 << 18, 4, 1 << 20
-KEPT_CHUNKS, KEPT_HEADS, KEPT_CHARS = 350_000, 100_000, 64
+GROUP, WORDS_AT_ONCE = 1 << 22, 1 << 14
+KEPT, KEPT_BYTES = 300_000, 64
 _MAGIC = b"TWIDS\x00\x00\x01"
 #: Bytes and CRC-32 of the table.
 _TABLE = struct.Struct("<II")
 #: Ids, documents, checkpoints, words, place of the first document's first id and of the first id (from the first id of the range), CRC-32 of what follows.
 _BLOCK = struct.Struct("<IIIIQQI")
 _MANIFEST = "part int, file string, offset long, length long, first long, n_ids long, n_docs long"
-_CUT = re.compile(r" (?=\S)")
-
-
-#: The character that stands for each byte in a byte-level vocabulary; line ends part words here.
-_SHOWN = {b: c for b, c in enumerate(_byte_characters()) if b != 10}
-
-
-def _letters(text: str) -> bool:
-    """Whether a text is one run of letters; letters of later additions to Unicode are left to the library."""
-    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+#: Where a text may be cut in slices. White space in a row before an added token is one word, so only a character of words tells that it isn't.
+_CUT = re.compile(r"[ \n](?=\w)|(?<=\S) (?=\S)")
+
+
+#: Kinds of a byte: of a character that may be white space or begin an added token, surely of neither, and those whose runs are words of the pattern.
+_OTHER, _SURE, _SPACE, _WHITE, _QUOTE, _MARK, _DIGIT, _LETTER = range(8)
+#: Where a word of the pattern surely begins, by the kinds of two bytes in a row: at the first one (a white space before another character), and at the second one.
+_AT_FIRST, _AT_SECOND = np.zeros((8, 8), dtype=bool), np.zeros((8, 8), dtype=bool)
+_AT_FIRST[_SPACE : _WHITE + 1, [_SURE, _QUOTE, _MARK, _DIGIT, _LETTER]] = True
+_AT_SECOND[_WHITE, [_SURE, _QUOTE, _MARK, _DIGIT, _LETTER]] = True
+_AT_SECOND[[_QUOTE, _MARK, _DIGIT, _LETTER], _WHITE] = True
+_AT_SECOND[_DIGIT:, [_QUOTE, _MARK]] = _AT_SECOND[_MARK, _DIGIT:] = _AT_SECOND[_DIGIT, _LETTER] = _AT_SECOND[_LETTER, _DIGIT] = True
+#: Kind of a character beyond ASCII by its first two bytes: some white spaces have those named here (and U+180E, which once was one); letters of two bytes, but for later additions to Unicode.
+_WIDE = np.full(1 << 16, _SURE, dtype=np.uint8)
+_WIDE[[0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380]] = _OTHER
+_WIDE[[int.from_bytes(chr(c).encode()) for c in (*range(0xC0, 0x240), *range(0x386, 0x482)) if chr(c).isalpha()]] = _LETTER
+#: The code point of the character that stands for each byte in a byte-level vocabulary; line ends part words here.
+_SHOWN = np.array([10 if b == 10 else ord(c) for b, c in enumerate(_byte_characters())], dtype="<u4")
 
 
 class Tokens:
@@ -63,88 +74,128 @@ class Tokens:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
         self.library = Tokenizer.from_file(path)
         # The same model for words that are cut and written as characters of its vocabulary already.
         self.words = Tokenizer(self.library.model)
         self.words.pre_tokenizer = CharDelimiterSplit("\n")
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        vocabulary = self.library.get_vocab(True)
-        # Each character of an id's string stands for one byte, but for special ones, which are written as they are.
+        added = list(self.library.get_added_tokens_decoder().values())
+        special, vocabulary = {t.content for t in added}, self.library.get_vocab(True)
+        # Each character of an id's string stands for one byte, but for added ones, which are written as they are.
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for word, i in vocabulary.items():
             self.bytes[i] = len(word.encode()) if word in special else len(word)
-        self.marks = {m: self._plain([m])[0].tobytes() for m in ",.;:!?"}
-        #: Chunks met lately, and those of the time before.
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keep(self, chunks: list[str], ids: np.ndarray) -> None:
-        """Keep the ids of each chunk with a space before it, given those of all of them in a row."""
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks)) + 1)
-        sizes = np.cumsum(self.bytes[ids])
-        at = np.searchsorted(sizes, ends)
-        if not (sizes[at] == ends).all():
-            raise ValueError("ids don't end where a chunk ends")
-        at = np.concatenate([[0], 4 * (at + 1)]).tolist()
-        self.kept.update(zip(chunks, map(ids.tobytes().__getitem__, map(slice, at, at[1:]))))
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Keep the ids of each chunk with a space before it: letters are one word of the pattern, a mark after them is one more."""
-        words, marked, other = set(), [], []
-        for c in chunks:
-            if _letters(c):
-                words.add(c)
-            elif c[-1] in self.marks and _letters(c[:-1]):
-                marked.append(c)
-            else:
-                other.append(c)
-        for word in {c[:-1] for c in marked}.difference(self.kept):
-            if (ids := self.older.get(word)) is not None:
-                self.kept[word] = ids
-            else:
-                words.add(word)
-        if words:
-            words = list(words)
-            shown = (" " + "\n ".join(words)).encode().decode("latin-1").translate(_SHOWN)
-            self._keep(words, np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4"))
-        if other:
-            self._keep(other, self._plain([" " + " ".join(other)])[0])
-        self.kept.update((c, self.kept[c[:-1]] + self.marks[c[-1]]) for c in marked)
+        self.kinds = np.full(256, _OTHER, dtype=np.uint8)
+        self.kinds[32], self.kinds[9:14] = _SPACE, _WHITE
+        for b in range(33, 127):
+            c = chr(b)
+            self.kinds[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _OTHER if any(c == t.content[0] for t in added) else _SURE if any(c in t.content for t in added) else _QUOTE if c == "'" else _MARK
+        cutter = self.library.pre_tokenizer
+        #: Whether texts may be cut: by this pattern, and if no added token can be cut or takes the white space around it.
+        self.cuts = self.library.normalizer is None and isinstance(cutter, ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+        self.cuts = self.cuts and not any(t.lstrip or t.rstrip or t.single_word or self.kinds[t.content.encode()[0]] != _OTHER or not t.content[0].isascii() or self._begins(np.frombuffer(t.content.encode(), dtype=np.uint8))[1:-1].any() for t in added)
+        #: Pieces met often lately, their ids, and how often: each group counts half of the next one.
+        self.kept, self.kept_ids, self.often = _large(np.zeros(0, np.uint8), np.zeros(1)), _large(np.zeros(0, np.uint8), np.zeros(1)), np.zeros(0)
+
+    def _kinds(self, data: np.ndarray) -> np.ndarray:
+        kinds = _looked_up(self.kinds, data)
+        if len(wide := np.flatnonzero(data >= 0xC2)):
+            kinds[wide] = found = _WIDE[(data[wide].astype(np.int64) << 8) | data[wide + 1]]
+            kinds[wide[found == _LETTER] + 1] = _LETTER
+        return kinds
+
+    def _begins(self, data: np.ndarray, starts: np.ndarray = np.zeros(1, dtype=np.int64)) -> np.ndarray:
+        """Of each byte and the end, whether a piece begins there; starts: of the texts."""
+        out = np.zeros(len(data) + 1, dtype=bool)
+        if len(data) > 1:
+            kinds = self._kinds(data)
+            pairs = kinds[:-1] << 3
+            pairs |= kinds[1:]
+            out[:-2] = _looked_up(_AT_FIRST, pairs)
+            # What stands after a text is none of it.
+            out[starts[starts > 0] - 1] = False
+            out[1:-1] |= _looked_up(_AT_SECOND, pairs).view(bool)
+        return out
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of distinct pieces. A run of letters, digits or marks, with or without a space before it, is one word of the pattern."""
+        data, ends = _bytes(pieces)
+        kinds, begin = self._kinds(data), ends[:-1]
+        bad = kinds < _MARK
+        bad[begin] &= (data[begin] != 32) | (np.diff(ends) == 1)
+        before = np.concatenate([[0], np.cumsum(bad)])
+        word = before[ends[1:]] == before[begin]
+        # A space before what is no space always begins a word, so such pieces can stand in one text.
+        row = ~word & (np.diff(ends) > 1) & (data[begin] == 32) & np.isin(kinds[np.minimum(begin + 1, max(len(data) - 1, 0))], [_SURE, *range(_QUOTE, _LETTER + 1)])
+        if not self.cuts:
+            word, row = np.zeros(len(pieces), dtype=bool), np.zeros(len(pieces), dtype=bool)
+        found, sizes, place, n = [np.zeros(0, "<u4")], [], np.empty(len(pieces), dtype=np.int64), 0
+        for kind in (word, row):
+            data, ends = _bytes(pieces.filter(pa.array(kind)))
+            for k in range(0, len(ends) - 1, WORDS_AT_ONCE):
+                part = ends[k : k + WORDS_AT_ONCE + 1] - ends[k]
+                some = data[ends[k] : ends[k] + part[-1]]
+                if kind is word:
+                    encoded = self.words.encode_batch_fast([_SHOWN[np.insert(some, part[1:-1], 10)].tobytes().decode("utf-32-le")], add_special_tokens=False)
+                else:
+                    encoded = self.library.encode_batch_fast([some.tobytes().decode()], add_special_tokens=False)
+                ids = np.array(encoded[0].ids, dtype="<u4")
+                reached = np.cumsum(self.bytes[ids])
+                at = np.searchsorted(reached, part[1:])
+                if at[-1] != len(ids) - 1 or not (reached[at] == part[1:]).all():
+                    raise ValueError("ids don't end where a piece ends")
+                found.append(ids)
+                sizes.append(np.diff(at, prepend=-1))
+            place[kind] = np.arange(n, n + len(ends) - 1)
+            n += len(ends) - 1
+        rest = pieces.filter(pa.array(~word & ~row)).cast(pa.large_string()).to_pylist()
+        for k in range(0, len(rest), WORDS_AT_ONCE):
+            some = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(rest[k : k + WORDS_AT_ONCE], add_special_tokens=False)]
+            found += some
+            sizes.append(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
+        place[~word & ~row] = np.arange(n, len(pieces))
+        return _large(np.concatenate(found), 4 * np.concatenate([[0], *sizes]).cumsum()).take(pa.array(place))
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.kept) > KEPT_CHUNKS:
-            self.older, self.kept = self.kept, {}
-        kept, cut = self.kept, [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        fresh = set().union(*cut).difference(kept)
-        # A space before another white space begins no word, so those texts are cut anew. Such chunks are never kept.
-        if odd := {c for c in fresh if not c or c[0].isspace()}:
-            for k, text in enumerate(texts):
-                if not odd.isdisjoint(cut[k]):
-                    heads[k], *cut[k] = _CUT.split(text)
-            fresh = set().union(*cut).difference(kept)
-        again = self.older.keys() & fresh
-        kept.update(zip(again, map(self.older.__getitem__, again)))
-        fresh -= again
-        if fresh:
-            self._learn(fresh)
-        if len(self.heads) > KEPT_HEADS:
-            self.heads.clear()
-        begun = list(set(heads).difference(self.heads))
-        self.heads.update(zip(begun, (ids.tobytes() for ids in self._plain(begun))))
-        out = [self.heads[head] + b"".join(map(kept.__getitem__, c)) for head, c in zip(heads, cut)]
-        for head in [h for h in begun if len(h) > KEPT_CHARS]:
-            del self.heads[head]
-        for chunk in [c for c in fresh if len(c) > KEPT_CHARS]:
-            del kept[chunk]
-        return out
+        data, starts = _bytes(pa.array(texts, pa.large_string()))
+        if not len(data):
+            return [b""] * len(texts)
+        begins = self._begins(data, starts) if self.cuts else np.zeros(len(data) + 1, dtype=bool)
+        begins[starts] = True
+        begins = np.flatnonzero(begins)
+        # Kept pieces come first, so each has its own place as its number.
+        pieces, known = pa.concat_arrays([self.kept, _large(data, begins)]).dictionary_encode(), len(self.kept)
+        numbers, pieces = pieces.indices[known:], pieces.dictionary
+        ids = pa.concat_arrays([self.kept_ids, self._ids(pieces[known:])])
+        out, ends = _bytes(ids.take(numbers))
+        often = np.bincount(numbers, minlength=len(pieces)) + np.concatenate([self.often / 2, np.zeros(len(pieces) - known)])
+        often[np.diff(_bytes(pieces)[1]) > KEPT_BYTES] = 0
+        keep = np.flatnonzero(often)
+        if len(keep) > KEPT:
+            keep = keep[np.argpartition(often[keep], -KEPT)[-KEPT:]]
+        self.kept, self.kept_ids, self.often = pieces.take(pa.array(keep)), ids.take(pa.array(keep)), often[keep]
+        bounds, out = ends[np.searchsorted(begins, starts)].tolist(), memoryview(out)
+        return [bytes(out[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """table's value for each byte; numpy's own indexing would make eight bytes of each first."""
+    return np.frombuffer(bytearray(data.tobytes().translate(table.astype(np.uint8).tobytes().ljust(256, b"\0"))), dtype=np.uint8)
+
+
+def _large(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i8")), pa.py_buffer(data)])
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins and the last ends."""
+    _, bounds, data = texts.buffers()
+    bounds = np.frombuffer(bounds, dtype="<i8")[texts.offset : texts.offset + len(texts) + 1] if bounds and bounds.size else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, dtype=np.uint8)
+    return data, bounds - bounds[0]
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +204,7 @@ def _tokens(path: str) -> Tokens:
 
 
 def _slices(text: str, size: int = SLICE):
-    """Pieces of about size characters, cut where a word of the pattern begins with a space."""
+    """Pieces of about size characters, cut where a word of the pattern begins with a space or a line end."""
     start = 0
     while len(text) - start > size:
         found = _CUT.search(text, start + size)
@@ -173,11 +224,11 @@ def _encoded(texts: list[str], tokens: Tokens, end: int):
             yield at, np.frombuffer(ids + last if ends else ids, dtype="<u4")
 
     for at, text in enumerate(texts):
-        pieces = list(_slices(text or ""))
+        pieces = list(_slices(text or "")) if tokens.cuts else [text or ""]
         for k, piece in enumerate(pieces):
             group.append((at, piece, k == len(pieces) - 1))
             size += len(piece)
-            if size > SLICE:
+            if size > GROUP:
                 yield from flush()
                 group, size = [], 0
     yield from flush()
@@ -206,8 +257,8 @@ class _File:
         self.n += len(ids)
 
     def written(self, out, block_ids: int):
-        """Write the file; yields offset, length, first, n_ids and n_docs of each block."""
-        ids, begins = np.concatenate(self.ids), np.array(self.begins, dtype=np.int64)
+        """Write the file; yields offset, length, first, n_ids and n_docs of each block. The ids aren't kept."""
+        ids, begins, self.ids = np.concatenate(self.ids), np.array(self.begins, dtype=np.int64), []
         table = rans.Frequencies.of(ids)
         packed = zlib.compress(np.concatenate([np.diff(table.symbols, prepend=0), table.scaled]).astype("<u4").tobytes(), 6)
         out.write(_MAGIC + _TABLE.pack(len(packed), zlib.crc32(packed)) + packed)
@@ -264,6 +315,8 @@ def _writer(root: str, tokenizer: str, end: int, file_ids: int, block_ids: int):
                         break
         if file.n:
             yield flush()
+        # A worker that waits for its next task needn't hold what Arrow has freed.
+        pa.default_memory_pool().release_unused()
 
     return run
 
