@@ -253,6 +253,16 @@ def test_mix_meets_targets(spark):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100_000_000, 350_000_000, 3_000_000_000])
+def test_targets_of_very_many_words(spark, size):
+    sizes = {"a": 4 * size, "b": size, "c": size, "d": 2}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    target = {r.source: r.target for r in mixing.targets(rows, base.Scratch(spark, "targets"), (5, 2, 1), 3).collect()}
+    # d, of weight 5, has its cap; the others share the rest by 5, 2 and 1.
+    rest = sum(sizes.values()) - 6
+    assert target == {"a": 5 * rest / 8, "b": 2 * rest / 8, "c": rest / 8, "d": 6.0}
+
+
 # 7
 
 

@@ -63,7 +63,8 @@ def targets(sources: DataFrame, work: base.Scratch, weights: tuple[int, ...] = (
         capped = row[0]
     if not open_weight:
         return table.select("source", "source_size", cap.cast("double").alias("target"))
-    share = F.col("weight") * F.lit(rest) / F.lit(open_weight)
+    # As a long: weights are ints and so is a literal below 2^31, but not their product.
+    share = F.col("weight").cast("long") * F.lit(rest) / F.lit(open_weight)
     return table.select("source", "source_size", F.least(cap.cast("double"), share).alias("target"))
 
 
