@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_contracts import ITEM, LINE, SCHEMAS, WORD, fixture_rows
+from tidewire.llm import mixing
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -110,6 +111,18 @@ def test_mix_meets_targets(spark, sf):
     assert all(target[s] <= 3 * size[s] + 1e-9 and abs(words[s] - target[s]) <= most for s in size)
 
 
+def test_mix_of_very_many_words(spark, sf, monkeypatch):
+    """As many words as some GB of documents have: n_chars says how many."""
+    monkeypatch.setattr(mixing, "sized", lambda docs: docs.select("doc_id", "source", F.col("n_chars").alias("size")))
+    rows = [(i, "", "en", "abc"[i % 3], 2_000_000) for i in range(600)]
+    out = STAGE["mix"](spark, spark.createDataFrame(rows, SCHEMAS["documents"]), sf).collect()
+    assert {(r.source, r.target) for r in out} == {("a", 750e6), ("b", 300e6), ("c", 150e6)}
+    words = collections.Counter()
+    for r in out:
+        words[r.source] += r.size * r.times
+    assert all(abs(words[r.source] - r.target) <= r.size for r in out)
+
+
 def test_run_is_the_stages_in_a_row(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     d = spark.read.parquet(f"{sf}/documents.parquet")
