@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -128,6 +129,30 @@ def test_polygons_equal_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 60
 
 
+def test_points_at_shared_places(spark):
+    """Many points at few places, repeated rows and -0.0 included, give each of them its fences."""
+    square = lambda x, y, r: [[[(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]]]
+    fences = [(1, square(0.0, 0.0, 3.0)), (2, square(1.0, 1.0, 1.5)), (3, square(50.0, 50.0, 1.0)), (4, None), (5, [[]]), (6, [[[]]])]
+    points = [(i, (0.0, -0.0, 2.0, None)[i % 4], 0.25 * (i % 2)) for i in range(200)]
+    points += points[:9]
+    got = geofence.join(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(fences, f"fence_id long, polygons {geofence.SHAPE}"))
+    want = [(i, k) for i, lat, lon in points for k, polygons in fences[:3] if lat is not None and crossed(lat, lon, polygons[0][0])]
+    assert got.columns == ["id", "lat", "lon", "fence_id"]
+    assert sorted((r.id, r.fence_id) for r in got.collect()) == sorted(want)
+
+
+def test_many_fences_are_covered_in_time(spark):
+    """Covers are worked out batch by batch: 8 ms of a core for each fence, as once, would take 40 s on four cores."""
+    k = F.col("id")
+    corner = lambda a, b: F.struct((k % 300 - 150 + a).cast("double").alias("x"), (k % 140 - 70 + b).cast("double").alias("y"))
+    ring = F.array(*[corner(a, b) for a, b in ((-2.0, 0.0), (-1.0, -1.7), (1.0, -1.7), (2.0, 0.1), (1.0, 1.7), (-1.0, 1.7))])
+    fences = spark.range(20_000).repartition(4).select(k.alias("fence_id"), geofence.edged(F.array(F.array(ring))).alias("polygons"))
+    began = time.monotonic()
+    sides = geofence.cover(fences).groupBy("fence_id").agg(F.count_if("inside").alias("whole"), F.count_if(~F.col("inside")).alias("border"))
+    assert sides.filter("whole > 0 AND border > 0").count() == 20_000
+    assert time.monotonic() - began < 20
+
+
 # Copies of headlines
 
 
