@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .lineage import cut_lineage, spread
+from .lineage import cut_lineage
 
 SPLITS, WIDEST, DEEPEST = 2, 256.0, 28
 #: What a cell is to a fence.
@@ -26,6 +26,8 @@ OUTSIDE, INSIDE, BORDER = 0, 1, 2
 #: Fences, and cells by edges, that a worker covers at a time, about.
 FENCES, PAIRS = 2000, 1 << 20
 CELL = ["fence_id", "level", "cx", "cy", "inside"]
+#: Fences of one task.
+DEALT = 5000
 #: Points for each place from which on a place is looked up once for all of its points.
 SHARED = 4
 #: polygons -> rings -> points
@@ -164,8 +166,10 @@ def _wrapped(fences: DataFrame) -> DataFrame:
 def join(points: DataFrame, fences: DataFrame, wrap: bool = True) -> DataFrame:
     """The columns of points (lat, lon, ...) with fence_id of each fence (fence_id, polygons: SHAPE) that holds them."""
     sides = fences.select("fence_id", F.col("polygons").cast(SHAPE).alias("polygons"))
-    sides = ((_wrapped(sides) if wrap else sides).withColumnRenamed("fence_id", "fence").withColumn("fence_id", F.struct("fence", F.monotonically_increasing_id().alias("part"))))
-    sides = spread(cut_lineage(sides.withColumn("polygons", edged(F.col("polygons")))))
+    # Small files of small polygons can be much work, so their number deals them out, not their bytes.
+    tasks = max(fences.sparkSession.sparkContext.defaultParallelism, -(-fences.count() // DEALT))
+    sides = ((_wrapped(sides) if wrap else sides).repartition(tasks).withColumnRenamed("fence_id", "fence").withColumn("fence_id", F.struct("fence", F.monotonically_increasing_id().alias("part"))))
+    sides = cut_lineage(sides.withColumn("polygons", edged(F.col("polygons"))))
     cells = cut_lineage(cover(sides))
     levels = [r[0] for r in cells.select("level").distinct().orderBy("level").collect()]  # DEEPEST + SPLITS at most
     known = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
