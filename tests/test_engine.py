@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import unicodedata
 import zipfile
 from datetime import datetime, timedelta
@@ -121,6 +122,22 @@ def test_events_by_a_fold_without_an_index(spark):
     assert again.place({"a49", "b49"}, 49 * 100_000) == 49
 
 
+def test_events_with_common_words(spark):
+    """Headlines that share common words with very many events are placed in time, alike with and without counts of the words; several batches of Arrow."""
+    rng = random.Random(5)
+    common = ["said", "town", "year", "vote", "rain", "fire"]
+    rows = [(i, i * 5 // 2, [*rng.sample(common, 3), *(f"w{rng.randrange(60_000)}" for _ in range(6))]) for i in range(12_000)]
+    rows += [(12_000 + i, at, tokens[: 4 + i % 5]) for i, (_, at, tokens) in enumerate(rng.sample(rows, 100))]
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(seconds=at), t) for i, at, t in rows], "id long, published_at timestamp_ntz, tokens array<string>")
+    began = time.monotonic()
+    got = {r.id: r.event for r in clusters.cluster(df, 72).collect()}
+    assert time.monotonic() - began < 15
+    assert len(got) == 12_100 and 6_000 < len(set(got.values())) < 12_050
+    few = [r for r in rows if r[0] % 30 == 0]
+    again = clusters.EventFold(3600)
+    assert {i: again.place(set(t), at) for i, at, t in sorted(few, key=lambda r: (r[1], r[0]))} == slow_events([(i, at, t) for i, at, t in few], 3600)
+
+
 def test_linked_events_are_components(spark):
     rows = headlines()
     got = {r.id: r.event for r in clusters.linked(frame(spark, rows), 24).collect()}
